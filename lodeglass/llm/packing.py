@@ -13,6 +13,7 @@ Null and empty texts are one piece, the end token alone. Repeated rows are packe
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,10 +25,15 @@ from pyspark.sql import DataFrame
 SEQUENCE, END_ID, WELL_FILLED, BLOCK = 2048, 1, 0.99, 4_000_000
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 1_000_000
 _TAIL = ".,!;:?"
 
 
+def _plain(text: str) -> bool:
+    """Latin characters that lower-casing and composition map to one each. The dotted capital I is the one that becomes two."""
+    return max(text) < "\u0250" and "\u0130" not in text
+
+
 class WordEncoder:
     """Ids of whole texts, as bytes of little-endian 32-bit numbers, through a bounded cache of words.
 
@@ -37,20 +43,35 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.bodies = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_letters(self, texts: list[str]) -> list[bytes]:
+        """Of texts of letters alone: each is one pre-token, and closes with its one token that ends a word. So all go in one call."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(texts):
+            return self._encode(texts)
+        raw, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _learn(self, words: list[str]) -> None:
         parts = []
         for w in words:
             body = w.rstrip(_TAIL)
-            parts.append((body.lower() if body.isascii() else body, w[len(body) :]) if body and body[-1].isalnum() else (w, ""))
+            parts.append((body.lower() if body.isascii() else body, w[len(body) :]) if body and body[-1].isalnum() and _plain(body[-1]) else (w, ""))
         new = list({x for pair in parts for x in pair if x and x not in self.bodies})
-        self.bodies.update(zip(new, self._encode(new)))
+        letters, other = [x for x in new if x.isalpha() and _plain(x)], [x for x in new if not (x.isalpha() and _plain(x))]
+        self.bodies.update(zip(letters, self._encode_letters(letters)))
+        self.bodies.update(zip(other, self._encode(other)))
         self.bodies[""] = b""
         self.words.update((w, self.bodies[a] + self.bodies[b]) for w, (a, b) in zip(words, parts))
 
@@ -58,14 +79,14 @@ class WordEncoder:
         if "<|" in text:
             return self._encode([text])[0]
         words = text.replace("\n", " ").split(" ")
-        if len(self.bodies) > _CACHE_WORDS or len(self.words) > _CACHE_WORDS:
+        if len(self.words) > _CACHE_WORDS:
             self.words.clear()
             self.bodies.clear()
         try:
-            return b"".join([self.words[w] for w in words])
+            return b"".join(map(self.words.__getitem__, words))
         except KeyError:
             self._learn([w for w in dict.fromkeys(words) if w not in self.words])
-            return b"".join([self.words[w] for w in words])
+            return b"".join(map(self.words.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
