@@ -63,17 +63,29 @@ class WordEncoder:
         raw, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, words: list[str]) -> None:
-        parts = []
+    def _learn(self, words: set[str]) -> None:
+        cut, new, known = [], set(), self.bodies
         for w in words:
             body = w.rstrip(_TAIL)
-            parts.append((body.lower() if body.isascii() else body, w[len(body) :]) if body and body[-1].isalnum() and _plain(body[-1]) else (w, ""))
-        new = list({x for pair in parts for x in pair if x and x not in self.bodies})
-        letters, other = [x for x in new if x.isalpha() and _plain(x)], [x for x in new if not (x.isalpha() and _plain(x))]
-        self.bodies.update(zip(letters, self._encode_letters(letters)))
-        self.bodies.update(zip(other, self._encode(other)))
-        self.bodies[""] = b""
-        self.words.update((w, self.bodies[a] + self.bodies[b]) for w, (a, b) in zip(words, parts))
+            last = body[-1:]
+            if last.isalnum() and last < "\u0250" and last != "\u0130":
+                tail = w[len(body) :]
+                if body.isascii():
+                    body = body.lower()
+            else:
+                body, tail = w, ""
+            cut.append((w, body, tail))
+            if body not in known:
+                new.add(body)
+            if tail not in known:
+                new.add(tail)
+        new.discard("")
+        letters = [x for x in new if x.isalpha() and (x.isascii() or _plain(x))]
+        other = list(new.difference(letters))
+        known.update(zip(letters, self._encode_letters(letters)))
+        known.update(zip(other, self._encode(other)))
+        known[""] = b""
+        self.words.update([(w, known[a] + known[b] if b else known[a]) for w, a, b in cut])
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:
@@ -82,11 +94,10 @@ class WordEncoder:
         if len(self.words) > _CACHE_WORDS:
             self.words.clear()
             self.bodies.clear()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in self.words])
-            return b"".join(map(self.words.__getitem__, words))
+        new = set(words).difference(self.words)
+        if new:
+            self._learn(new)
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
