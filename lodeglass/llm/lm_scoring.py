@@ -37,7 +37,7 @@ from lodeglass.storage import materialize
 
 WORD_SHARE, GRAM_SHARE, DISCOUNT = 1e-5, 5e-7, 0.75
 FOLDS, HELD_OUT, END = 7, 2, b"\n"
-BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 2_000_000
+BLOCK_TOKENS, SHARD_TOKENS, LEAST_SHARDS = 1_000_000, 2_000_000, 256
 _BITS = 20  # of a first-level number in a packed n-gram: 1 / WORD_SHARE is under 2 ** 20
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -304,7 +304,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     rows = documents.select(documents[id_col].cast("long"), documents[text])
     raw = fit(rows)
     model = Trie(raw)
-    n_tokens, n_words, n_shards = model.n_tokens, model.n_words, max(1, model.n_tokens // SHARD_TOKENS)
+    n_tokens, n_words, n_shards = model.n_tokens, model.n_words, max(LEAST_SHARDS, model.n_tokens // SHARD_TOKENS)
     shared, key = rows.sparkSession.sparkContext.broadcast(raw), uuid.uuid4().hex
 
     def fn(batches):
