@@ -87,7 +87,7 @@ LANGUAGES: dict[str, Language] = {
         custom={"macros": r"^[ \t]*#[ \t]*define[ \t]+(\w+)", "typedefs": r"\btypedef\b[^;{]*?\b(\w+)\s*;"},
     ),
     "cpp": Language(
-        forms=((rf"^[ \t]*(?P<h>(?:[\w:*&<>,]+[ \t]+)+[*&]*)(?P<n>{_ID})\s*\([^;{{}}]*\)\s*(?:const|noexcept|override|->\s*[\w:<>]+|\s)*\{{", "fn"), (rf"\bclass\s+(?:\w+\s+)?(?P<n>{_ID})\s*(?:final\s*)?(?::[^{{;]*)?\{{", "struct"), (rf"\bstruct\s+(?P<n>{_ID})\s*(?::[^{{;]*)?\{{", "struct"), (rf"\benum\s+(?:class\s+)?(?P<n>{_ID})", "enum")),
+        forms=((rf"^[ \t]*(?P<h>(?:[\w:*&<>,]+[ \t]+)+[*&]*)(?P<n>{_ID})\s*\([^;{{}}]*\)\s*(?:const|noexcept|override|->\s*[\w:<>]+|\s)*\{{", "fn"), (rf"(?<!enum )\bclass\s+(?:\w+\s+)?(?P<n>{_ID})\s*(?:final\s*)?(?::[^{{;]*)?\{{", "struct"), (rf"\bstruct\s+(?P<n>{_ID})\s*(?::[^{{;]*)?\{{", "struct"), (rf"\benum\s+(?:class\s+)?(?P<n>{_ID})", "enum")),
         uses=_C_USES, level=None, custom={"namespaces": r"\bnamespace\s+([\w:]+)"}, shown=lambda name, head: name not in ("if", "for", "while", "switch", "return", "catch"),
     ),
     "cs": Language(
