@@ -34,7 +34,7 @@ class EliasFano:
         """The arrays of the sequence, to be written; `top`: over all values."""
         values = np.asarray(values, np.uint64)
         n = len(values)
-        low = max(0, (top // n).bit_length() - 1) if n else 0
+        low = max(0, (top // max(n, 1)).bit_length() - 1)
         if low:
             bits = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & _ONE).astype(np.uint8)
             lows = np.packbits(bits.ravel(), bitorder="little")
