@@ -114,8 +114,8 @@ def _candidate(kind: str, base: bool, s: Column) -> Column:
         F.concat(F.lit("d:"), F.least(n, F.lit(20)).cast("string")), F.concat(F.lit("s:"), strict.cast("string")),
     )
     own = checked if base else F.lit(False)
-    # A card that fails its checksum is none, whatever stands around it.
-    possible = checked if kind == "card" else strict
+    # A card that fails its checksum is none, whatever stands around it, nor is a number of another length a phone's.
+    possible = checked if kind == "card" else strict & checked if kind == "phone" else strict
     return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), own.alias("base"), possible.alias("possible"), votes.alias("votes"), features.alias("features"))
 
 
