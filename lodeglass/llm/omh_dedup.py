@@ -3,15 +3,16 @@
 A document's five-word shingles are labelled with their occurrence number, so that repeats count. Each of many hash functions
 samples the `MINIMA` smallest labelled shingles and keeps them in text order: two documents agree in a sample with a probability
 that falls with edits and with changed order. `TUPLES` samples make a band key, `BANDS` keys a sketch; documents that share a key
-are candidates. Banded alignment of the shingle sequences verifies them: a pair is linked if the shingles aligned in order are
-at least `SIMILARITY` of all (aligned / (both - aligned)). A pair at exactly 0.8 is missed with a probability under 1e-4,
-a closer one with less.
+are candidates. Banded alignment of the labelled shingle sequences verifies them: a pair is linked if the shingles aligned in order are
+at least `SIMILARITY` of all (aligned / (both - aligned)). A pair at exactly 0.8 is missed with a probability of 7e-4, one at 0.85
+of 1e-5, if no third text links them.
 
 Equal texts (after lower-casing A-Z and joining words by one space) are one node from the start, found by a hash of 128 bits and combined
-per task before anything moves. A bucket of at most `BUCKET` different texts gives all its pairs. Larger buckets are worked off by
-pivots, without pairs of all: the members are aligned with the bucket's least text. The distance is a metric, so members linked to
-the pivot can miss a link only to members in a ring around it; these stay for the next round with those of the linked ones that the
-triangle inequality allows to reach them. What is left after `ROUNDS` rounds gives all pairs. So classes are those of all candidate pairs.
+per task before anything moves. Buckets are worked off in rounds. In each, one member of a bucket, the pivot, is aligned with the others that are
+not in its class yet; the links found join classes, and a bucket whose members are all of one class is done. So a large group of near copies costs
+a number of alignments in proportion to its texts. Buckets that are still of several classes after the rounds are finished exactly: pairs of small
+ones are aligned one by one, large ones are cut into blocks, and pairs of blocks counted and aligned without making rows of their pairs. So classes are those
+of all candidate pairs: no bucket is capped and no pair that could join two classes is skipped.
 
 Null texts and texts without words are classes of their own. Texts of fewer than five words are one shingle. Repeated rows get a row each;
 class ids are the least document id of the class. Extra columns are ignored.
@@ -19,21 +20,25 @@ class ids are the least document id of the class. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodeglass.graph.components import connected_components
 from lodeglass.storage import materialize
 
-WORDS, SIMILARITY, MINIMA, TUPLES, BANDS, BUCKET, ROUNDS = 5, 0.8, 2, 3, 32, 32, 4
+WORDS, SIMILARITY, MINIMA, TUPLES, BANDS = 5, 0.8, 2, 3, 24
+ROUNDS, SMALL, BLOCK = 3, 64, 256
+FIRST_BANDS = 4  # of the first round, in which most classes form
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # mixing constants of SplitMix64
-_SEEDS = np.random.default_rng(20240229).integers(1, 2**63, TUPLES * BANDS, dtype=np.uint64)
+_SEEDS = np.random.default_rng(20240229).integers(1, 2**32, TUPLES * BANDS, dtype=np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,16 +81,18 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """The sketch: one key per band, of `TUPLES` ordered samples each."""
     base, n = labelled(shingles), len(shingles)
+    short = (base >> np.uint64(32)).astype(np.uint32)
     samples = np.empty(TUPLES * BANDS, np.uint64)
     step = max(1, (1 << 18) // n)
     for f in range(0, len(samples), step):
-        values = (base[None, :] ^ _SEEDS[f : f + step, None]) * _M1
-        values ^= values >> np.uint64(32)
+        values = (short[None, :] ^ _SEEDS[f : f + step, None]) * np.uint32(0x85EBCA6B)
+        values ^= values >> np.uint32(15)
+        values *= np.uint32(0xC2B2AE35)
         rows = np.arange(len(values))
         picks = np.empty((len(values), min(MINIMA, n)), np.int64)
         for k in range(picks.shape[1]):
             picks[:, k] = values.argmin(1)
-            values[rows, picks[:, k]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            values[rows, picks[:, k]] = np.uint32(0xFFFFFFFF)
         picks.sort(axis=1)  # text order
         tuple_hash = np.full(len(values), 7, np.uint64)
         for k in range(picks.shape[1]):
@@ -102,29 +109,49 @@ def limit(a: int, b: int) -> int:
     return int((a + b) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)
 
 
-def distance(x: list[int], y: list[int], most: int) -> int:
-    """Insertions and deletions between `x` and `y`, by alignment in a band of diagonals that widens by one a step; -1 if over `most`."""
-    if sum((Counter(x) & Counter(y)).values()) * 2 < len(x) + len(y) - most:
-        return -1
-    low, high = 0, min(len(x), len(y))
-    while low < high and x[low] == y[low]:
-        low += 1
-    end = 0
-    while end < high - low and x[-1 - end] == y[-1 - end]:
-        end += 1
-    x, y = x[low : len(x) - end], y[low : len(y) - end]
-    n, m = len(x), len(y)
-    far = {1: 0}
-    for d in range(min(most, n + m) + 1):
-        for k in range(-d, d + 1, 2):
-            i = far[k + 1] if k == -d or (k != d and far[k - 1] < far[k + 1]) else far[k - 1] + 1
-            j = i - k
-            while i < n and j < m and x[i] == y[j]:
-                i, j = i + 1, j + 1
-            far[k] = i
-            if i >= n and j >= m:
-                return d
-    return -1
+class Sequence:
+    """A text's labelled shingles, each of which occurs once: in order, and sorted with their places."""
+
+    def __init__(self, shingles: np.ndarray):
+        own = labelled(shingles)
+        self.places = np.argsort(own)
+        self.sorted = own[self.places]
+        self.n = len(own)
+
+
+def linked(x: Sequence, y: Sequence) -> bool:
+    """Whether the sequences can be aligned with at most `limit` insertions and deletions.
+
+    Matches off the diagonal by more than the limit cannot be part of such an alignment; within that band the longest chain of matches that ascends
+    in both texts is the alignment.
+    """
+    most = limit(x.n, y.n)
+    if abs(x.n - y.n) > most:
+        return False
+    if x.n > y.n:
+        x, y = y, x
+    at = np.searchsorted(y.sorted, x.sorted)
+    np.minimum(at, y.n - 1, out=at)
+    same = y.sorted[at] == x.sorted
+    need = (x.n + y.n - most + 1) // 2
+    if same.sum() < need:
+        return False
+    i, j = x.places[same], y.places[at[same]]
+    band = np.abs(i - j) <= most
+    i, j = i[band], j[band]
+    if len(i) < need:
+        return False
+    chain = j[np.argsort(i)]
+    if (np.diff(chain) > 0).all():
+        return True
+    tops: list[int] = []  # the least last place of an ascending chain of each length
+    for place in chain.tolist():
+        k = bisect.bisect_left(tops, place)
+        if k == len(tops):
+            tops.append(place)
+        else:
+            tops[k] = place
+    return len(tops) >= need
 
 
 def sketches(documents: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -150,42 +177,39 @@ def sketches(documents: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(band, a, b, d, na, nb) of `pairs` (band, a, b): the distance, -1 beyond twice the limit, and the numbers of shingles."""
-    rows = pairs.select("band", "a", "b").join(texts.select(F.col("node").alias("a"), F.col("body").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("body").alias("tb")), "b").select("band", "a", "b", "ta", "tb")
+    """Those of `pairs` (a, b, and any other columns) whose texts are linked."""
+    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("body").alias("_ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("body").alias("_tb")), "b").select(*pairs.columns, "_ta", "_tb")
+    at = {c: i for i, c in enumerate(rows.columns)}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for part in batches:
-            out = []
-            last: tuple = (None, [])
-            for a, ta, tb in zip(part.column(1).to_pylist(), part.column(3).cast(pa.binary()), part.column(4).cast(pa.binary())):
-                if last[0] != a:
-                    last = (a, shingle(ta.as_py().lower().split()).tolist())
-                y = shingle(tb.as_py().lower().split()).tolist()
-                out.append((distance(last[1], y, 2 * limit(len(last[1]), len(y)) + 2), len(last[1]), len(y)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3))], names=["band", "a", "b", "d", "na", "nb"])
-
-    return rows.mapInArrow(task, "band long, a string, b string, d long, na long, nb long")
-
-
-_LIMIT = f"cast(floor((na + nb) * {1 - SIMILARITY} / {1 + SIMILARITY} + 1e-9) as long)"
-_LINKED = f"d >= 0 and d <= {_LIMIT}"
+        shingle, known, held = Shingler(), {}, 0
+
+        def sequence(node, cell):
+            nonlocal held
+            if node not in known:
+                if held > 2_000_000:
+                    known.clear()
+                    held = 0
+                known[node] = Sequence(shingle(cell.as_py().lower().split()))
+                held += known[node].n
+            return known[node]
 
+        for part in batches:
+            a, b = part.column(at["a"]).to_pylist(), part.column(at["b"]).to_pylist()
+            keep = [linked(sequence(x, tx), sequence(y, ty)) for x, y, tx, ty in zip(a, b, part.column(at["_ta"]).cast(pa.binary()), part.column(at["_tb"]).cast(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(part.columns[:-2], names=pairs_columns).filter(pa.array(keep, pa.bool_()))
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """(a, b), a < b, of every bucket's members, once for each pair. For buckets of bounded size."""
-    lists = members.groupBy("band").agg(F.array_sort(F.collect_list("node")).alias("l"))
-    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct().withColumn("band", F.lit(None).cast("long"))
+    pairs_columns = list(pairs.columns)
+    return rows.mapInArrow(task, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema))
 
 
 def link(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketched: one row per document with its node; reps: node, rep; links: a, b between nodes of different texts)."""
     sketched = materialize(sketches(documents, id_col, text), "sketches")
     reps = materialize(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
-    exploded = reps.select("node", F.explode("bands").alias("band"))
+    exploded = reps.select("node", F.posexplode("bands").alias("place", "band"))
     sizes = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(exploded.join(sizes, "band"), "members")
+    members = materialize(exploded.join(sizes, "band").select("band", "place", "node"), "members")
 
     wanted = members.select("node").distinct().join(reps.select("node", "rep"), "node")
     own = documents.select(documents[id_col].cast("long").alias("rep"), documents[text].alias("body"))
@@ -198,35 +222,92 @@ def link(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> tu
     texts = own.join(wanted, "rep").select("node", "body").mapInArrow(named, "node string, body string")
     texts = materialize(texts.groupBy("node").agg(F.min("body").alias("body")), "texts")  # a document id may come twice
 
-    found = [materialize(_aligned(_all_pairs(members.where(f"n <= {BUCKET}")), texts).where(_LINKED).select("a", "b"), "links")]
-    active = members.where(f"n > {BUCKET}").select("band", "node")
-    for _ in range(ROUNDS):
-        active = materialize(active, "active")
-        if active.isEmpty():
-            break
-        pivots = active.groupBy("band").agg(F.min("node").alias("a"))
-        pairs = active.join(pivots, "band").where("node != a").select("band", "a", F.col("node").alias("b"))
-        done = materialize(_aligned(pairs.select("a", "b").distinct().withColumn("band", F.lit(None).cast("long")), texts).drop("band"), "aligned")
-        found.append(done.where(_LINKED).select("a", "b"))
-        seen = pairs.join(done, ["a", "b"])
-        # linked members reach others only through the ring: those aligned within twice the limit, but not linked
-        ring = seen.where(f"d > {_LIMIT}").groupBy("band").agg(F.min("d").alias("near"), F.max("nb").alias("long"))
-        left = seen.join(ring, "band", "left").where(f"not ({_LINKED}) or d + ceil((nb + long) / 9) >= near").select("band", F.col("b").alias("node"))
-        count = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-        left = materialize(left.join(count, "band"), "left")
-        found.append(_aligned(_all_pairs(left.where(f"n <= {BUCKET}")), texts).where(_LINKED).select("a", "b"))
-        active = left.where(f"n > {BUCKET}").select("band", "node")
-    else:
-        rest = active.alias("x").join(active.alias("y"), "band").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().withColumn("band", F.lit(None).cast("long"))
-        found.append(_aligned(rest, texts).where(_LINKED).select("a", "b"))
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
-    return sketched, reps, materialize(links.distinct(), "links")
+    links = None
+    now = members.withColumn("class", F.col("node"))
+    for i in range(ROUNDS):
+        some = F.col("place") < FIRST_BANDS if i == 0 else F.lit(True)
+        mixed = now.where(some).groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(i), "node"), "class", "node")).alias("pivot"), F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
+        pairs = now.join(mixed.select("band", "pivot"), "band").where(F.col("class") != F.col("pivot.class")).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("class").alias("own"), F.col("pivot.class").alias("other")).distinct()
+        more = materialize(_aligned(pairs, texts), "links")
+        links = more if links is None else links.union(more)
+        now = materialize(_joined_classes(now, more), "members")
+    links = links.select("a", "b")
+    mixed = now.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size")).where("low != high")
+    rest = materialize(now.join(mixed, "band").select("band", "node", "class", "size"), "members")
+    few = rest.where(F.col("size") <= SMALL)
+    pairs = few.alias("x").join(few.alias("y"), "band").where("x.node < y.node and x.class != y.class").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    links = links.union(_aligned(pairs, texts)).union(_joined_blocks(rest.where(F.col("size") > SMALL), texts))
+    return sketched, reps, materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+
+def _joined_classes(now: DataFrame, links: DataFrame) -> DataFrame:
+    """`now` (band, place, node, class) after one step along `links` (own, other: classes that a pivot joins): each takes the least class around its pivot.
+
+    Classes are names of nodes that links lead to, so equal ones are joined; that some joined ones are not equal yet only costs alignments. The components of all links
+    are found once, at the end.
+    """
+    around = links.groupBy("other").agg(F.min("own").alias("least")).select("other", F.least("other", "least").alias("new"))
+    moves = links.select("own", "other").distinct().join(around, "other").select(F.col("own").alias("old"), "new").union(around.select("other", "new"))
+    moves = moves.groupBy("old").agg(F.min("new").alias("new")).where("new < old")
+    return now.join(moves, F.col("class") == F.col("old"), "left").select("band", "place", "node", F.coalesce("new", "class").alias("class"))
+
+
+def _joined_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join classes within large buckets. `members`: band, node, class, size.
+
+    A bucket is cut into blocks of `BLOCK` texts, and each pair of blocks is a group of bounded size. There the numbers of common shingles of all pairs are one
+    product of matrices; only pairs of different classes that have enough in common are aligned, and only links that join two classes become rows.
+    """
+    place = F.row_number().over(Window.partitionBy("band").orderBy("class", "node")) - 1
+    cut = members.withColumn("block", F.floor(place / BLOCK)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))))
+    keyed = cut.select("band", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "class")
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        shingle = Shingler()
+        pdf = pdf.sort_values("node")
+        seqs = [Sequence(shingle(t.encode().lower().split())) for t in pdf["body"]]
+        nodes, block = pdf["node"].tolist(), pdf["block"].to_numpy()
+        root = {c: c for c in pdf["class"]}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        low, high = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        n = np.array([q.n for q in seqs])
+        owner = np.repeat(np.arange(len(seqs)), n)
+        values, column, count = np.unique(np.concatenate([q.sorted for q in seqs]), return_inverse=True, return_counts=True)
+        keep = count[column] > 1
+        owner, column = owner[keep], (np.cumsum(count > 1) - 1)[column[keep]]
+        common = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for start in range(0, int((count > 1).sum()), 8192):
+            a, b = np.searchsorted(column, (start, start + 8192))
+            part = np.zeros((len(seqs), 8192), np.float32)
+            part[owner[a:b], column[a:b] - start] = 1
+            common += part[left] @ part[right].T
+        total = n[left][:, None] + n[right][None, :]
+        most = np.floor(total * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9)
+        classes = pdf["class"].to_numpy()
+        enough = (total - 2 * common <= most) & (classes[left][:, None] != classes[right][None, :])
+        out = []
+        for x, y in zip(*np.nonzero(enough)):
+            x, y = left[x], right[y]
+            a, b = find(classes[x]), find(classes[y])
+            if a != b and linked(seqs[x], seqs[y]):
+                root[a] = b
+                out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return keyed.join(texts, "node").groupBy("band", "i", "j").applyInPandas(check, "a string, b string")
 
 
 def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (the least id of the class), n_links (of its text to different texts that were aligned)."""
+    """One row per document: doc_id, class_id (the least id of the class), n_links (of its text to different texts, as far as they were needed to form classes)."""
     sketched, reps, links = link(documents, id_col, text)
     of = connected_components(links)
     least = of.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
