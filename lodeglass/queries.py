@@ -225,6 +225,64 @@ def source_slice(spark, sf):
     return outline.source_slice(places, content).select("file_path", "body")
 
 
+def _reexporting(spark, sf):
+    """JavaScript files re-export all their names."""
+    lists = A.exports(spark, sf).where("file_path like '%.js'").groupBy(F.col("file_path").alias("path")).agg(F.collect_set("name").alias("names"))
+    return lists.select("path", F.create_map(F.lit("./origin"), F.col("names")).alias("named_imports"))
+
+
+_ORIGIN = """, own AS (SELECT * FROM exports WHERE file_path LIKE '%.js'), rest AS (SELECT * FROM exports WHERE file_path NOT LIKE '%.js'), w AS (SELECT name, max(file_path) AS f, arg_max(start_line, file_path) AS l FROM rest GROUP BY 1)"""
+
+
+@query(_ORIGIN + " SELECT own.file_path, own.name, coalesce(f, own.file_path) AS origin, coalesce(l, own.start_line) AS origin_line FROM own LEFT JOIN w USING (name)", "parts exports")
+def reexports(spark, sf):
+    return outline.reexports(_reexporting(spark, sf), A.exports(spark, sf))
+
+
+@query(_ORIGIN + " SELECT name, f AS file_path FROM w", "parts exports")
+def winners_without_reexports(spark, sf):
+    return lookup.winners(A.exports(spark, sf), lookup.own_named_imports(_reexporting(spark, sf))).select("name", "file_path")
+
+
+@query("SELECT name, min(file_path) AS file_path, arg_min(start_line, file_path) AS start_line FROM exports WHERE kind = 'fn' GROUP BY 1", "parts exports")
+def function_index(spark, sf):
+    exports = A.exports(spark, sf)
+    functions = exports.where("kind = 'fn'").groupBy(F.col("file_path").alias("path")).agg(F.collect_set("name").alias("function_names"))
+    return lookup.function_index(exports.where("kind = 'fn'"), functions).select("name", "file_path", "start_line")
+
+
+@query("SELECT name AS symbol, arg_max(kind, file_path) AS kind FROM exports GROUP BY 1", "parts exports")
+def declaration_kinds(spark, sf):
+    exports = A.exports(spark, sf)
+    return lookup.declaration_kind(exports.select(F.col("name").alias("symbol")), exports, A.members(spark, sf))
+
+
+@query("SELECT name, file_path FROM winners WHERE contains(name, 'ring') ORDER BY name LIMIT 50", "parts exports winners")
+def export_search(spark, sf):
+    return search.export_search("ring", A.exports(spark, sf)).select("name", "file_path")
+
+
+@query("SELECT file AS path, package AS specifier FROM hrefs", "hrefs")
+def external_specifiers(spark, sf):
+    """No link of a page resolves to a file, so all are external."""
+    pages = A.page_imports(spark, sf).withColumns({"dependencies": F.array().cast("array<string>"), "dependency_kinds": F.create_map().cast("map<string,string>")})
+    return closure.external_specifiers(pages, resolve.resolve_all(pages))
+
+
+@query("SELECT name, file_path, dir FROM (SELECT name, file_path, regexp_replace(file_path, '/[^/]*$', '') AS dir FROM exports WHERE file_path LIKE 'brand_1%')", "parts exports")
+def definitions_in_directory(spark, sf):
+    from lodeglass.functions.paths import dirname
+
+    rows = A.exports(spark, sf).where(listing.in_directory(F.col("file_path"), "brand_1"))
+    return rows.select("name", "file_path", dirname(F.col("file_path")).alias("dir"))
+
+
+@query("SELECT path, n_downstream FROM (SELECT f.path, coalesce(d.n, 0) AS n_downstream FROM part_files f LEFT JOIN (SELECT target AS path, count(DISTINCT source) AS n FROM edges WHERE source LIKE '%.ts' GROUP BY 1) d USING (path))", "parts part_files pairs edges")
+def downstream_of_kind(spark, sf):
+    edges = A.edges(spark, sf).where(F.col("source").endswith(".ts"))
+    return listing.with_counts(A.part_files(spark, sf), A.exports(spark, sf), edges).select("path", "n_downstream")
+
+
 # --- search ----------------------------------------------------------------------------------------------------------------
 
 

@@ -49,6 +49,17 @@ def facts(content: DataFrame) -> dict[str, DataFrame]:
     return {"files": files, "exports": exports, "members": dotted(flat("members")), "hidden": dotted(flat("hidden"))}
 
 
+def find_hidden(content: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """(file_path, name, start_line, end_line, signature, visibility, kind) of symbols that no file exports: private members and further top-level definitions.
+    Only files whose text holds the name are parsed."""
+    last = name.rsplit(".", 1)[-1]
+    rows = content.where(F.col("text").contains(last))
+    if path is not None:
+        rows = rows.where(F.col("path") == path)
+    found = parse(rows).select(F.col("path").alias("file_path"), F.explode("hidden").alias("s")).select("file_path", "s.*").drop("relationship_kind")
+    return found.where(F.col("name") == name)
+
+
 def call_sites(content: DataFrame, symbol: str) -> DataFrame:
     """(path, call) of each candidate file: direct, namespace, or null where the file does not call the symbol."""
 

@@ -19,7 +19,8 @@ from lodeglass.operators import glossary as gl
 from lodeglass.operators import listing, outline, resolve, search, similar
 from lodeglass.operators import lookup as lk
 from lodeglass.sources.config import Config
-from lodeglass.sources.index import verified_users
+from lodeglass.sources.index import find_hidden, verified_users
+from lodeglass.sources.parsers import parse_file
 
 PROTOCOL = "2024-11-05"
 NAMES = ("lookup_export", "list_exports", "dependency_graph", "dependency_cycles", "search", "read_symbol", "file_outline", "list_files", "glossary", "find_similar", "dupe_clusters")
@@ -121,6 +122,9 @@ class Tools:
             places = _rows(outline.resolve_symbol(name, exports, members, lk.own_named_imports(files)))
         except ValueError as e:
             raise ToolError(str(e)) from None
+        if not places:  # a symbol that its file keeps to itself
+            path, _, own = name.rpartition(":")
+            places = _rows(find_hidden(self.content, own, path or None).orderBy("file_path", "start_line"))
         if not places:
             near = _rows(outline.member_suggestions(self.content.sparkSession.createDataFrame([(name.rsplit(".", 1)[-1],)], "wanted string"), members)) if "." in name else []
             raise ToolError(f"Symbol '{name}' not found." + (f" Did you mean {', '.join(r['suggestion'] for r in near)}?" if near else ""))
@@ -139,6 +143,14 @@ class Tools:
     def file_outline(self, file: str, include_private: bool = False, truncate: bool = True):
         known, (exports, members, files) = self._known(file), self._t("exports", "members", "files")
         rows = _rows(outline.file_outline(file, exports, members, include_private))
+        if include_private and self.content is not None:
+            text = self.content.where(F.col("path") == file).select("text").first()
+            found = parse_file(file, text[0] or "") if text else None
+            shown = {(r["parent"], r["name"]) for r in rows}
+            for h in found.hidden if found else []:
+                parent, _, own = h.name.rpartition(".")
+                if (parent or None, own) not in shown:
+                    rows.append({"parent": parent or None, "name": own, "start_line": h.start, "end_line": h.end, "size": h.end - h.start + 1, "signature": h.signature, "visibility": h.visibility, "kind": h.kind})
         again = _rows(outline.reexports(files.where(F.col("path") == file), exports).where(F.col("file_path") == file).orderBy("name"))
         return rows, fmt.outline(file, known["loc"], known["imports"], known["dependencies"], rows, again)
 
