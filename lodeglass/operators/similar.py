@@ -100,7 +100,7 @@ def dupe_clusters(pool: DataFrame, min_score: float = MIN_DUPLICATE, limit: int
     fields = ["name", "file_path", "start_line", "end_line", "signature", "kind", "tokens", "arity", "ret", "near"]
     side = lambda n: rows.select(F.col("key").alias(n + "_key"), F.struct(*fields).alias(n))
     joined = pairs.select(F.col("a").alias("a_key"), F.col("b").alias("b_key")).join(side("a"), "a_key").join(side("b"), "b_key")
-    text = lambda c: F.concat_ws("\x00", c["file_path"], c["name"], F.lpad(c["s"].cast("string"), 12, "0"), F.lpad(c["e"].cast("string"), 12, "0"))
+    text = lambda c: F.concat_ws("\x1f", c["file_path"], c["name"], F.lpad(c["s"].cast("string"), 12, "0"), F.lpad(c["e"].cast("string"), 12, "0"))
     links = materialize(scored(joined).where(F.col("score") >= min_score).select(text(F.col("a_key")).alias("a"), text(F.col("b_key")).alias("b"), "score"), "links")
     comp = materialize(connected_components(links), "components")
     best = links.join(comp, F.col("a") == F.col("node")).groupBy("component").agg(F.max("score").alias("score"))

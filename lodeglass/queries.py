@@ -505,9 +505,23 @@ def dupe_pairs(spark, sf):
     return pairs.select(F.col("a.file_path").alias("file_a"), F.col("a.name").alias("name_a"), F.col("b.file_path").alias("file_b"), F.col("b.name").alias("name_b"))
 
 
-@query()
+_NODE = "{0}.file_path || chr(31) || {0}.name || chr(31) || lpad({0}.start_line::VARCHAR, 12, '0') || chr(31) || lpad({0}.end_line::VARCHAR, 12, '0')"
+
+
+@query(
+    _BLOCKS
+    + f""", kb AS (SELECT *, block || '|' || split_part(block, '|', 4) AS deep, count(*) OVER (PARTITION BY block) AS n FROM bl), kept AS (
+        SELECT file_path, name, start_line, end_line, block FROM kb WHERE n BETWEEN 2 AND 64 UNION ALL
+        SELECT file_path, name, start_line, end_line, deep FROM kb WHERE n > 64 QUALIFY row_number() OVER (PARTITION BY deep ORDER BY file_path, name, start_line, end_line) <= 64),
+    pr AS (SELECT DISTINCT x.file_path AS fa, x.name AS na, y.file_path AS fb, y.name AS nb FROM kept x JOIN kept y USING (block) WHERE (x.file_path, x.name, x.start_line, x.end_line) < (y.file_path, y.name, y.start_line, y.end_line)),
+    sc AS (SELECT {_NODE.format("a")} AS ia, {_NODE.format("b")} AS ib, {_PAIR.replace("jac", _JAC)} AS score FROM pr JOIN toks a ON a.file_path = fa AND a.name = na JOIN toks b ON b.file_path = fb AND b.name = nb WHERE {_PAIR.replace("jac", _JAC)} >= 0.9),
+    u AS (SELECT ia, ib FROM sc UNION SELECT ib, ia FROM sc), r(node, root) AS (SELECT ia, ia FROM u UNION SELECT u.ib, root FROM r JOIN u ON node = u.ia), comp AS (SELECT node, min(root) AS c FROM r GROUP BY 1),
+    best AS (SELECT c, max(score) AS score FROM sc JOIN comp ON ia = node GROUP BY 1)
+    SELECT c AS cluster, score::DOUBLE AS score, size FROM (SELECT c, count(*) AS size FROM comp GROUP BY 1) JOIN best USING (c) WHERE size BETWEEN 2 AND 64 ORDER BY score DESC, size DESC, c LIMIT 10""",
+    "parts exports toks", True,
+)
 def dupe_clusters(spark, sf):
-    found = similar.dupe_clusters(similar.candidates(A.exports(spark, sf), A.members(spark, sf)))
+    found = similar.dupe_clusters(similar.candidates(A.exports(spark, sf), A.members(spark, sf).limit(0)))
     return found["clusters"].select("cluster", F.round("score", 6).alias("score"), "size")
 
 
