@@ -1,10 +1,10 @@
 """Quality rules whose cutoffs come with a proof: at most a stated share of good documents is rejected.
 
-Each rule rejects documents whose value lies above a cutoff. For every stratum (language), rule and cutoff of a fixed
-grid, the labelled holdout gives n good documents and k of them rejected. The exact binomial tail P(Bin(n, alpha / rules) <= k)
-is the p-value of "this cutoff rejects more than its share"; Holm's step-down corrects for all tests at once. Per stratum
-and rule the lowest certified cutoff is used, none if no cutoff is certified. With probability 1 - delta, no stratum loses
-more than `alpha` of its good documents to the rules together.
+Each rule rejects documents whose value lies above a cutoff. The cutoffs form levels, from strict to lenient; a level rejects what any of its rules
+rejects. For every stratum (language) and level, the labelled holdout gives n good documents and k of them rejected. The exact binomial
+tail P(Bin(n, alpha) <= k) is the p-value of "this level rejects more than its share"; Holm's step-down corrects for all tests at once. A
+stratum uses the strictest certified level, none if no level is certified. With probability 1 - delta, no stratum loses more than `alpha` of its
+good documents to the rules together.
 
 All of it is column expressions: no Python runs on executors. Text never moves through a shuffle.
 
@@ -15,6 +15,9 @@ empty results. Repeated rows are each judged. Extra columns are ignored here (`r
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +29,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-#: Rules: value expression over the measures, and the grid of cutoffs.
+#: Rules: value expression over the measures, and the cutoffs of the levels, from strict to lenient.
 RULES = {
     "symbols": ("n_symbols / greatest(word_chars, 1)", (0.02, 0.05, 0.1, 0.15, 0.2, 0.3)),
     "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.1, 0.15, 0.2, 0.25, 0.3, 0.4)),
@@ -34,6 +37,7 @@ RULES = {
     "capitals": ("n_capitals / greatest(word_chars, 1)", (0.1, 0.2, 0.3, 0.4, 0.5, 0.7)),
     "length": ("word_chars / greatest(n_words, 1)", (7.0, 8.0, 9.0, 10.0, 12.0, 16.0)),
 }
+LEVELS = 6
 ALPHA, DELTA = 0.01, 0.05
 MIN_WORDS = 50
 
@@ -94,19 +98,19 @@ def _tail(n: Column, k: Column, p: float) -> Column:
 
 
 def certify(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Every test: stratum, rule, cutoff, n_good, n_rejected, p_value, certified. One row per stratum, rule and cutoff.
+    """Every test: stratum, level, n_good, n_rejected, p_value, certified. One row per stratum and level.
 
     The only shuffles are the join of narrow measures with the labels and a count per stratum, combined before it moves.
     """
     good = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("_quality")).where("_quality = 1")
     rows = measured.join(good, measured[id_col] == good["_id"]).where(~base_failed())
-    counts = [F.count_if(F.expr(value) > cut).alias(f"{rule}_{i}") for rule, (value, grid) in RULES.items() for i, cut in enumerate(grid)]
-    sums = rows.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).agg(F.count("*").alias("n_good"), *counts)
-    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cutoff"), F.col(f"{rule}_{i}").alias("n_rejected")) for rule, (_, grid) in RULES.items() for i, cut in enumerate(grid)])
-    flat = sums.select("stratum", "n_good", F.explode(tests).alias("t")).select("stratum", "n_good", "t.rule", "t.cutoff", "t.n_rejected")
-    flat = flat.withColumn("p_value", _tail(F.col("n_good"), F.col("n_rejected"), alpha / len(RULES)))
-    # Holm: at the i-th smallest p-value the level is delta / (tests - i + 1), and all before must have passed. A few hundred rows.
-    order = Window.orderBy("p_value", "stratum", "rule", "cutoff")
+    rejects = [reduce(or_, [F.expr(value) > grid[i] for value, grid in RULES.values()]) for i in range(LEVELS)]
+    sums = rows.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).agg(F.count("*").alias("n_good"), *[F.count_if(r).alias(f"k{i}") for i, r in enumerate(rejects)])
+    tests = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"k{i}").alias("n_rejected")) for i in range(LEVELS)])
+    flat = sums.select("stratum", "n_good", F.explode(tests).alias("t")).select("stratum", "n_good", "t.level", "t.n_rejected")
+    flat = flat.withColumn("p_value", _tail(F.col("n_good"), F.col("n_rejected"), alpha))
+    # Holm: at the i-th smallest p-value the level is delta / (tests - i + 1), and all before must have passed. As many rows as strata have levels.
+    order = Window.orderBy("p_value", "stratum", "level")
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = flat.withColumn("_i", F.row_number().over(order)).withColumn("_m", F.count("*").over(every))
     passed = F.col("p_value") <= F.lit(delta) / (F.col("_m") - F.col("_i") + 1)
@@ -114,9 +118,9 @@ def certify(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stra
 
 
 def cutoffs(tests: DataFrame) -> dict[tuple[str, str], float]:
-    """The lowest certified cutoff of each (stratum, rule): at most strata x rules numbers."""
-    rows = tests.where("certified").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")).collect()
-    return {(r["stratum"], r["rule"]): r["cutoff"] for r in rows}
+    """The cutoffs of each stratum's strictest certified level: at most strata x rules numbers."""
+    rows = tests.where("certified").groupBy("stratum").agg(F.min("level").alias("level")).collect()
+    return {(r["stratum"], rule): float(grid[r["level"]]) for r in rows for rule, (_, grid) in RULES.items()}
 
 
 def verdict(cuts: dict[tuple[str, str], float], stratum: str = "lang") -> Column:
