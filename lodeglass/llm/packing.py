@@ -46,7 +46,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.bodies = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -64,7 +64,7 @@ class WordEncoder:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _learn(self, words: set[str]) -> None:
-        cut, new, known = [], set(), self.bodies
+        cut, new, known = [], set(), self.words
         for w in words:
             body = w.rstrip(_TAIL)
             last = body[-1:]
@@ -85,7 +85,7 @@ class WordEncoder:
         known.update(zip(letters, self._encode_letters(letters)))
         known.update(zip(other, self._encode(other)))
         known[""] = b""
-        self.words.update([(w, known[a] + known[b] if b else known[a]) for w, a, b in cut])
+        known.update([(w, known[a] + known[b] if b else known[a]) for w, a, b in cut])
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:
@@ -93,7 +93,6 @@ class WordEncoder:
         words = text.replace("\n", " ").split(" ")
         if len(self.words) > _CACHE_WORDS:
             self.words.clear()
-            self.bodies.clear()
         new = set(words).difference(self.words)
         if new:
             self._learn(new)
