@@ -1,26 +1,22 @@
-"""Scores of texts under an n-gram model, held in an Elias-Fano trie.
+"""Scores of texts under an n-gram model of the whole corpus, held in Elias-Fano tries by shards.
 
-The model is interpolated absolute discounting over add-one unigrams. Unigram counts are exact for every word of the corpus. Words with at least
-`WORD_SHARE` of all training tokens form the trie's first level (at most 1 / WORD_SHARE of them, whatever the corpus), bigrams and trigrams of
-these words with at least `GRAM_SHARE` of the tokens (and two occurrences) its further levels (at most 1 / GRAM_SHARE each). So the trie
-has a proven size bound and goes to every task, while the counting covers all data.
+The model is interpolated absolute discounting over add-one unigrams, orders 1 to 3. Unigram counts are exact for every word; every bigram and trigram
+that occurs at least `MIN_COUNT` times in training texts is kept, however large the corpus, so the model grows with the corpus.
 
-Levels: ascending word hashes; per word the start of its successors (monotone pointers); successors as numbers relative to their context, kept
-ascending by adding what the ranges before end with; a trigram's last word is named by its place among the successors of its middle word. Levels are
-Elias-Fano coded, probabilities and backoff weights quantised to 256 values each. A query is a successor search within a context's range.
+No machine holds the model. A block of documents sends its distinct words, bigrams and trigrams with their training counts to shards, by the hash of their
+context (words: their own), as packed arrays (an n-gram is named by 40 bits within its context), one for each (block, shard). A shard sums the counts, builds its part of the model as a trie (ascending
+hashes of contexts and of kept n-grams, Elias-Fano coded, with their probabilities), looks all its n-grams up and answers each block. A block adds up its answers.
 
-The other words are too many for any one machine. Their occurrences go to shards by hash, as packed arrays and one for each (block of documents, shard);
-a shard sums the counts of its words and returns one number per document and shard. No such word holds more than WORD_SHARE of the tokens, so no shard is hot.
+A context of very common words could make one shard hot. Words with at least `HOT_SHARE` of all training tokens are at most 1 / HOT_SHARE; n-grams whose context
+consists of them go to shards by their own hash, and the totals of these contexts are counted before and go to every task.
 
 Null and empty texts are their end token alone. A null id counts as the empty text. Repeated rows are learned and scored each. With no training tokens
-every count is 0. Words are told apart by 64-bit hashes.
+every count is 0. Words and contexts are told apart by 64-bit hashes, the successors of a context by 40 bits.
 """
 
 from __future__ import annotations
 
-import mmap
-import tempfile
-import uuid
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -29,16 +25,16 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodeglass.llm.elias_fano import EliasFano
-from lodeglass.storage import materialize
 
-WORD_SHARE, GRAM_SHARE, DISCOUNT = 1e-5, 5e-7, 0.75
+WORD_SHARE = GRAM_SHARE = 0.0  # nothing is left out for its share of the corpus
+MIN_COUNT, HOT_SHARE, DISCOUNT = 2, 2e-3, 0.75
 FOLDS, HELD_OUT, END = 7, 2, b"\n"
-BLOCK_TOKENS, SHARD_TOKENS, LEAST_SHARDS = 1_000_000, 2_000_000, 256
-_BITS = 20  # of a first-level number in a packed n-gram: 1 / WORD_SHARE is under 2 ** 20
+BLOCK_TOKENS, SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 2_000_000, 256
+_TOP = (1 << 64) - 1
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -101,255 +97,234 @@ def count_words(rows: DataFrame) -> DataFrame:
     return _columns(rows, fn, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _sequence(block: Block, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first-level numbers of all tokens with a -1 before each document, the document of each place, the hashes)."""
-    hashes = block.hashes()
-    at = np.searchsorted(frequent, hashes)
-    at = np.where(frequent[np.minimum(at, len(frequent) - 1)] == hashes, at, -1) if len(frequent) else np.full(len(hashes), -1)
-    parts = [x for ids in block.ids for x in (np.array([-1], np.int32), ids)]
-    local = np.concatenate(parts)
-    level = np.where(local >= 0, at[local], -1).astype(np.int64)
-    doc = np.repeat(np.arange(len(block.ids)), [len(x) + 1 for x in block.ids])
-    return np.where(local >= 0, level, -2), doc, hashes
+def gram_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams from those of their contexts and last words."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _contains(ascending: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x if len(ascending) else np.zeros(len(x), bool)
+
+
+class Grams:
+    """The distinct n-grams of a block. By order (0 to 2): `hashes`, `context` (number of the n-gram before the last word, one order below), whether the context is
+    `hot`, and `at`, the number of the n-gram that ends at each token (-1 where the document begins later)."""
+
+    def __init__(self, words: np.ndarray, ids: np.ndarray, lengths: np.ndarray, hot: np.ndarray):
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        ids, base = ids.astype(np.int64), len(words)
+        common = _contains(hot, words)
+        self.hashes, self.context, self.hot, self.at = [words], [None], [np.zeros(base, bool)], [ids]
+        for n in (1, 2):
+            ok = np.flatnonzero(place >= n)
+            key, back = np.unique(self.at[-1][ok - 1] * base + ids[ok], return_inverse=True)
+            at = np.full(len(ids), -1)
+            at[ok] = back
+            context, last = key // base, key % base
+            self.hashes.append(gram_hash(self.hashes[-1][context], words[last]))
+            self.hot.append(common[context])
+            common = common[context] & common[last]
+            self.context.append(context)
+            self.at.append(at)
+
+    def counts(self, n: int, train: np.ndarray) -> np.ndarray:
+        ok = (self.at[n] >= 0) & train
+        return np.bincount(self.at[n][ok], minlength=len(self.hashes[n]))
+
+    def layout(self, n: int, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the n-grams by shard and context, where each shard begins in it, the context of each run of equal ones, sizes of the runs, where each shard's runs begin)."""
+        borders = np.arange(n_shards + 1)
+        if not n:
+            shard = (self.hashes[0] % np.uint64(n_shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            none = np.zeros(0, np.int64)
+            return order, np.searchsorted(shard[order], borders), none, none, np.zeros(n_shards + 1, np.int64)
+        context = self.context[n]
+        shard = (np.where(self.hot[n], self.hashes[n], self.hashes[n - 1][context]) % np.uint64(n_shards)).astype(np.int64)
+        order = np.lexsort((context, shard))
+        shard, context = shard[order], context[order]
+        begin = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (context[1:] != context[:-1]))) if len(order) else np.zeros(0, np.int64)
+        return order, np.searchsorted(shard, borders), context[begin], np.diff(np.append(begin, len(order))), np.searchsorted(shard[begin], borders)
+
+
+def _requests(grams: Grams, train: np.ndarray, n_shards: int) -> Iterator[tuple[int, bytes]]:
+    """For each shard: by order, the contexts with the sizes of their runs, the n-grams and their training counts."""
+    parts = []
+    for n in range(3):
+        order, cuts, context, sizes, runs = grams.layout(n, n_shards)
+        known, keys = grams.hashes[n - 1][context] if n else np.zeros(0, np.uint64), grams.hashes[n][order]
+        names = np.ascontiguousarray((keys >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]) if n else keys
+        parts.append((known, sizes.astype(np.uint32), names, grams.counts(n, train)[order].astype(np.uint32), runs, cuts))
+    for shard in range(n_shards):
+        slices = [(*(x[runs[shard] : runs[shard + 1]] for x in (known, sizes)), *(x[cuts[shard] : cuts[shard + 1]] for x in (names, counts))) for known, sizes, names, counts, runs, cuts in parts]
+        head = np.array([k for s in slices for k in (len(s[0]), len(s[2]))], np.int64)
+        if head.any():
+            yield shard, b"".join([head.tobytes(), *(x.tobytes() for s in slices for x in (s[0], s[2])), zlib.compress(b"".join(x.tobytes() for s in slices for x in (s[1], s[3])), 1)])
+
+
+def _open(payload: bytes) -> list[tuple[np.ndarray, ...]]:
+    """By order: contexts, sizes of their runs, hashes of the n-grams within their contexts, counts."""
+    head, at, found = np.frombuffer(payload, np.int64, 6).tolist(), 48, []
+    for n in range(3):
+        runs, size = head[2 * n : 2 * n + 2]
+        known = np.frombuffer(payload, np.uint64, runs, at)
+        names = np.frombuffer(payload, np.uint8, size * (5 if n else 8), at + 8 * runs)
+        at += 8 * runs + len(names)
+        found.append((known, names))
+    small, at, out = zlib.decompress(payload[at:]), 0, []
+    for n, (known, names) in enumerate(found):
+        runs, size = head[2 * n : 2 * n + 2]
+        sizes, counts = np.frombuffer(small, np.uint32, runs, at), np.frombuffer(small, np.uint32, size, at + 4 * runs)
+        at += 4 * (runs + size)
+        if n:
+            wide = np.zeros((size, 8), np.uint8)
+            wide[:, :5] = names.reshape(-1, 5)
+            keys = gram_hash(np.repeat(known, sizes), wide.view(np.uint64).ravel())
+        else:
+            keys = names.view(np.uint64)
+        out.append((known, sizes, keys, counts))
+    return out
 
 
-def count_grams(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(n, key, c) of the bigrams and trigrams of frequent words in training texts; key packs their first-level numbers."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+def hot_contexts(rows: DataFrame, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending hashes, training counts, discounted counts of the kept successors) of the contexts that consist of the `hot` words: at most 1 / HOT_SHARE + 1 / HOT_SHARE ** 2."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def fn(batches):
         for block in blocks(batches, True):
-            level, _, _ = _sequence(block, shared.value)
-            for n in (2, 3):
-                key, ok = np.zeros(max(0, len(level) - n + 1), np.int64), np.ones(max(0, len(level) - n + 1), bool)
-                for k in range(n):
-                    x = level[k : len(level) - n + 1 + k]
-                    key, ok = (key << _BITS) | np.maximum(x, 0), ok & (x >= 0)
-                values, counts = np.unique(key[ok], return_counts=True)
-                yield np.full(len(values), n, np.int32), values, counts.astype(np.int64)
-
-    return _columns(rows, fn, "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
-
-
-def _quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes uint8, their 256 values): means of bins of equal weight."""
-    if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(256)
-    edges = np.quantile(values, np.linspace(0, 1, 257)[1:-1])
-    codes = np.searchsorted(edges, values, "left")
-    n = np.bincount(codes, minlength=256)
-    return codes.astype(np.uint8), np.bincount(codes, values, 256) / np.maximum(n, 1)
-
-
-def _relative(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Ascending numbers from per-range ones (from 1 up): each range begins above the end of the one before."""
-    if not len(keys):
-        return keys
-    sizes = np.diff(starts)
-    last = keys[np.maximum(starts[1:], 1) - 1] * (sizes > 0)
-    base = np.concatenate([[0], np.cumsum(last)[:-1]])
-    return keys + np.repeat(base, sizes)
-
+            lengths = np.array([len(x) for x in block.ids])
+            grams, every = Grams(block.hashes(), np.concatenate(block.ids), lengths, shared.value), np.ones(block.tokens, bool)
+            for n in (1, 2):
+                is_hot = grams.hot[n]
+                yield grams.hashes[n - 1][grams.context[n][is_hot]].view(np.int64), grams.hashes[n][is_hot].view(np.int64), grams.counts(n, every)[is_hot].astype(np.int64)
 
-class Trie:
-    """The model. `dump` gives its bytes, `Trie(bytes)` maps them from an unnamed temporary file."""
-
-    _NAMES = ("words", "counts", "code1", "book1", "start2", "next2", "code2", "book2", "back2", "backbook2", "start3", "next3", "code3", "book3", "totals")
-    _SEQUENCES = {"words", "start2", "next2", "start3", "next3"}
-
-    def __init__(self, raw: bytes):
-        with tempfile.TemporaryFile() as f:
-            f.write(raw)
-            f.flush()
-            self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        head = np.frombuffer(self._map, "<i8", 1)[0]
-        sizes = np.frombuffer(self._map, "<i8", int(head) * 2, 8).reshape(-1, 2)
-        at, arrays = 8 + 16 * int(head), []
-        for code, size in sizes:
-            kind = np.dtype([np.uint8, np.uint64, np.float64, np.int64][code])
-            arrays.append(np.frombuffer(self._map, kind, int(size), at))
-            at += -(-int(size) * kind.itemsize // 8) * 8
-        it = iter(arrays)
-        for name in self._NAMES:
-            setattr(self, name, EliasFano(next(it), next(it), next(it)) if name in self._SEQUENCES else next(it))
-        self.n_tokens, self.n_words = (int(x) for x in self.totals)
-        self.log_p1 = np.log10((self.counts.astype(float) + 1) / (self.n_tokens + self.n_words + 1))
-
-    @classmethod
-    def dump(cls, hashes: np.ndarray, counts: np.ndarray, grams2: tuple[np.ndarray, np.ndarray], grams3: tuple[np.ndarray, np.ndarray], n_tokens: int, n_words: int) -> bytes:
-        """From ascending word hashes with counts, and packed bigrams and trigrams with counts (all those that the model keeps)."""
-        mask, p1 = (1 << _BITS) - 1, (counts + 1) / (n_tokens + n_words + 1)
-        order = np.argsort(grams2[0])
-        key2, c2 = grams2[0][order], grams2[1][order].astype(float)
-        w1, w2 = key2 >> _BITS, key2 & mask
-        seen = np.bincount(w1, (c2 - DISCOUNT) / counts[w1], len(hashes))
-        back1 = np.clip(1 - seen, 1e-9, 1)
-        p2 = (c2 - DISCOUNT) / counts[w1] + back1[w1] * p1[w2]
-        start2 = np.searchsorted(w1, np.arange(len(hashes) + 1))
-
-        order = np.argsort(grams3[0])
-        key3, c3 = grams3[0][order], grams3[1][order].astype(float)
-        context, ending = np.searchsorted(key2, key3 >> _BITS), np.searchsorted(key2, key3 & ((1 << 2 * _BITS) - 1))
-        back2 = np.clip(1 - np.bincount(context, (c3 - DISCOUNT) / c2[context], len(key2)) if len(key3) else np.ones(len(key2)), 1e-9, 1)
-        p3 = (c3 - DISCOUNT) / c2[context] + back2[context] * p2[ending]
-        start3 = np.searchsorted(context, np.arange(len(key2) + 1))
-        place = ending - start2[w1[ending]] + 1  # among the successors of the middle word
-
-        next2, next3 = _relative(w2 + 1, start2), _relative(place, start3)
-        top = lambda x: int(x[-1]) + 2 if len(x) else 2
-        ef = EliasFano.build
-        quantised = {"1": _quantise(np.log10(back1)), "2": _quantise(np.log10(p2)), "b": _quantise(np.log10(back2)), "3": _quantise(np.log10(p3))}
-        arrays = [*ef(hashes, (1 << 64) - 1), counts.astype(np.int64), *quantised["1"], *ef(start2, top(start2)), *ef(next2, top(next2)), *quantised["2"], *quantised["b"], *ef(start3, top(start3)), *ef(next3, top(next3)), *quantised["3"], np.array([n_tokens, n_words], np.int64)]
-        kinds = {"uint8": 0, "uint64": 1, "float64": 2, "int64": 3}
-        out = [np.array([len(arrays), *(x for a in arrays for x in (kinds[a.dtype.name], len(a)))], "<i8").tobytes()]
-        for a in arrays:
-            raw = a.tobytes()
-            out.append(raw + b"\0" * (-len(raw) % 8))
-        return b"".join(out)
-
-    def _child(self, starts: EliasFano, nexts: EliasFano, parent: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Index of the child called `number` (from 1 up, relative to its context) in the range of `parent`, -1 without it."""
-        begin, end = (starts.access(parent + k).astype(np.int64) for k in (0, 1))
-        base = np.zeros(len(parent), np.uint64)
-        later = np.flatnonzero(begin > 0)
-        base[later] = nexts.access(begin[later] - 1)
-        at = nexts.find(base + number.astype(np.uint64))
-        return np.where((at >= begin) & (at < end), at, -1)
-
-    def bigram(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        return self._child(self.start2, self.next2, w1, w2 + 1)
-
-    def trigram(self, first: np.ndarray, second: np.ndarray, middle: np.ndarray) -> np.ndarray:
-        """From the bigrams (w1, w2) and (w2, w3), and w2."""
-        return self._child(self.start3, self.next3, first, second - self.start2.access(middle).astype(np.int64) + 1)
-
-    def token_scores(self, level: np.ndarray) -> np.ndarray:
-        """log10 probability of each place, without the unigram term of words outside the first level. `level`: first-level numbers, -1 for other words, -2 for the border before a document."""
-        before = np.concatenate([[-2], level[:-1]])
-        two = _once(lambda k: self.bigram(k >> _BITS, k & ((1 << _BITS) - 1)), (before << _BITS) | np.maximum(level, 0), (before >= 0) & (level >= 0))
-        first = np.concatenate([[-1], two[:-1]])
-        both = (first >= 0) & (two >= 0)
-        three = np.full(len(level), -1, np.int64)
-        places = np.flatnonzero(both)
-        if len(places):
-            pair, back = np.unique(np.stack([first[places], two[places]]), axis=1, return_inverse=True)
-            where = np.empty(pair.shape[1], np.int64)
-            where[back.ravel()] = places
-            three[places] = self.trigram(pair[0], pair[1], before[where])[back.ravel()]
-        uni = np.where(level >= 0, self.log_p1[np.maximum(level, 0)], 0.0) if len(self.log_p1) else np.zeros(len(level))
-        take = lambda book, codes, i: book[codes[np.maximum(i, 0)]] if len(codes) else np.zeros(len(i))
-        score = np.where(two >= 0, take(self.book2, self.code2, two), uni + np.where(before >= 0, take(self.book1, self.code1, before), 0.0))
-        score = np.where(three >= 0, take(self.book3, self.code3, three), score + np.where(first >= 0, take(self.backbook2, self.back2, first), 0.0))
-        return np.where(level == -2, 0.0, score)
-
-
-def _once(fn, keys: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """fn of each distinct key among those that are `ok`, -1 elsewhere."""
-    out = np.full(len(keys), -1, np.int64)
-    values, back = np.unique(keys[ok], return_inverse=True)
-    if len(values):
-        out[ok] = fn(values)[back]
-    return out
+    counted = _columns(rows, fn, "context long, gram long, c long").groupBy("context", "gram").agg(F.sum("c").alias("c"))
+    found = counted.groupBy("context").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("c") >= MIN_COUNT, F.col("c") - DISCOUNT).otherwise(0.0)).alias("s")).toArrow()
+    context, c, s = (found.column(k).to_numpy() for k in range(3))
+    order = np.argsort(context.view(np.uint64))
+    return context.view(np.uint64)[order], c[order].astype(float), s[order].astype(float)
 
 
-def _shards(block: Block, level: np.ndarray, doc: np.ndarray, hashes: np.ndarray, uids: np.ndarray, n_shards: int) -> Iterator[tuple[int, bytes]]:
-    """The occurrences of the block's other words, by shard: for each word hash and training count, its documents and frequencies."""
-    lengths = [len(x) for x in block.ids]
-    local, of = np.concatenate(block.ids), np.repeat(np.arange(len(lengths)), lengths)
-    outside = level[level != -2] == -1
-    pair, tf = np.unique(local[outside].astype(np.int64) << 32 | of[outside], return_counts=True)
-    word, at = pair >> 32, pair & 0xFFFFFFFF
-    train = np.array([not held_out(d) for d in block.docs])
-    shard = (hashes[word] % np.uint64(n_shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    word, at, tf, shard = word[order], at[order], tf[order], shard[order]
-    cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, int)
-    for a, b in zip(cuts, [*cuts[1:], len(shard)]):
-        words, w = np.unique(word[a:b], return_inverse=True)
-        docs, d = np.unique(at[a:b], return_inverse=True)
-        counts = np.bincount(w, tf[a:b] * train[at[a:b]], len(words)).astype(np.uint32)
-        head = np.array([len(words), len(docs), b - a], np.int64)
-        small = np.uint16 if len(docs) < 65536 else np.uint32
-        yield int(shard[a]), b"".join(x.tobytes() for x in (head, hashes[words], uids[docs], counts, np.bincount(w, minlength=len(words)).astype(np.uint32), tf[a:b].astype(np.uint32), d.astype(small)))
-
-
-def _open(payload: bytes) -> tuple[np.ndarray, ...]:
-    nw, nd, n = (int(x) for x in np.frombuffer(payload, np.int64, 3))
-    at, out = 24, []
-    for kind, size in ((np.uint64, nw), (np.int64, nd), (np.uint32, nw), (np.uint32, nw), (np.uint32, n), (np.uint16 if nd < 65536 else np.uint32, n)):
-        out.append(np.frombuffer(payload, kind, size, at))
-        at += size * np.dtype(kind).itemsize
-    return tuple(out)
-
-
-def fit(rows: DataFrame) -> bytes:
-    """The trie of `rows` (doc_id, text): its size is bounded by the shares, not by the rows."""
-    counts = materialize(count_words(rows), "words")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("c") >= max(1.0, WORD_SHARE * total[0])).toArrow()
-    hashes, c = (top.column(k).to_numpy() for k in (0, 1))
-    hashes = hashes.view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, c = hashes[order], c[order]
-    grams = count_grams(rows, hashes).where(F.col("c") >= max(2.0, GRAM_SHARE * total[0])).toArrow()
-    n, key, times = (grams.column(k).to_numpy() for k in range(3))
-    return Trie.dump(hashes, c, (key[n == 2], times[n == 2]), (key[n == 3], times[n == 3]), total[0], total[1])
-
-
-_tries: dict[str, tuple[Trie, np.ndarray]] = {}
+class Trie:
+    """A shard's part of one order above the first: contexts with what they leave to the order below, and kept n-grams with their discounted shares."""
+
+    def __init__(self, contexts: np.ndarray, total: np.ndarray, seen: np.ndarray, grams: np.ndarray, counts: np.ndarray, context_of: np.ndarray):
+        """From ascending hashes: contexts with training counts and discounted counts of their kept successors; n-grams with counts and places of their contexts."""
+        left, kept = np.flatnonzero(seen > 0), np.flatnonzero(counts >= MIN_COUNT)
+        self.contexts = EliasFano(*EliasFano.build(contexts[left], _TOP))
+        self.back = np.clip(1 - seen[left] / total[left], 1e-9, 1).astype(np.float32)
+        self.grams = EliasFano(*EliasFano.build(grams[kept], _TOP))
+        self.share = ((counts[kept] - DISCOUNT) / total[context_of[kept]]).astype(np.float32)
+
+    @staticmethod
+    def _look_up(level: EliasFano, values: np.ndarray, asked: np.ndarray, other: float) -> np.ndarray:
+        out, at = np.full(len(asked), other, np.float32), level.find(asked)
+        out[at >= 0] = values[at[at >= 0]]
+        return out
+
+    def backs(self, contexts: np.ndarray) -> np.ndarray:
+        return self._look_up(self.contexts, self.back, contexts, 1)
+
+    def shares(self, grams: np.ndarray) -> np.ndarray:
+        return self._look_up(self.grams, self.share, grams, 0)
+
+
+def _answers(payloads: list[bytes], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    """What a shard answers to each block, in the order of its request: counts of words; for bigrams and trigrams the backs of contexts and the shares of n-grams."""
+    asked, out = [_open(p) for p in payloads], [[] for _ in payloads]
+    for n in range(3):
+        known, sizes, keys, times = ([p[n][k] for p in asked] for k in range(4))
+        grams, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        c = np.bincount(back, np.concatenate(times).astype(float), len(grams))
+        if n:
+            contexts, of = np.unique(np.concatenate(known), return_inverse=True)
+            context_of = np.repeat(of, np.concatenate(sizes))[first]
+            total, kept = np.bincount(context_of, c, len(contexts)), c >= MIN_COUNT
+            seen = np.bincount(context_of[kept], c[kept] - DISCOUNT, len(contexts))
+            if len(contexts) and len(hot[0]):
+                is_hot = np.flatnonzero(_contains(hot[0], contexts))
+                at = np.searchsorted(hot[0], contexts[is_hot])
+                total[is_hot], seen[is_hot] = hot[1][at], hot[2][at]
+            trie = Trie(contexts, total, seen, grams, c, context_of)
+            backs, values = trie.backs(contexts)[of], trie.shares(grams)[back]
+        else:
+            values = c.astype(np.int64)[back]
+        runs, at = np.cumsum([0, *map(len, known)]), np.cumsum([0, *map(len, keys)])
+        for k, own in enumerate(out):
+            own += ([backs[runs[k] : runs[k + 1]]] if n else []) + [values[at[k] : at[k + 1]]]
+    return [zlib.compress(b"".join(x.tobytes() for x in own), 1) for own in out]
+
+
+def _combine(own: bytes, answers: dict[int, bytes], hot: np.ndarray, n_tokens: int, n_words: int, n_shards: int) -> pd.DataFrame:
+    """The rows of a block's documents."""
+    docs, lengths, ids, words = pickle.loads(zlib.decompress(own))
+    grams = Grams(words, ids, lengths, hot)
+    layouts = [grams.layout(n, n_shards) for n in range(3)]
+    count, share, back = np.zeros(len(words), np.int64), [None, *(np.zeros(len(grams.hashes[n])) for n in (1, 2))], [None, *(np.ones(len(grams.hashes[n - 1])) for n in (1, 2))]
+    for shard, answer in answers.items():
+        payload, at = zlib.decompress(answer), 0
+
+        def take(kind, size):
+            nonlocal at
+            at += size * np.dtype(kind).itemsize
+            return np.frombuffer(payload, kind, size, at - size * np.dtype(kind).itemsize)
+
+        for n, (order, cuts, context, _, runs) in enumerate(layouts):
+            mine, theirs = order[cuts[shard] : cuts[shard + 1]], context[runs[shard] : runs[shard + 1]]
+            if n:
+                back[n][theirs] = take(np.float32, len(theirs))
+                share[n][mine] = take(np.float32, len(mine))
+            else:
+                count[mine] = take(np.int64, len(mine))
+    p1 = ((count + 1) / (n_tokens + n_words + 1))[grams.at[0]]
+    p = p1.copy()
+    for n in (1, 2):
+        ok = np.flatnonzero(grams.at[n] >= 0)
+        p[ok] = share[n][grams.at[n][ok]] + back[n][grams.at[n - 1][ok - 1]] * p[ok]
+    of, k = np.repeat(np.arange(len(docs)), lengths), len(docs)
+    return pd.DataFrame({
+        "doc_id": pd.array(docs, "Int64"), "held_out": [held_out(d) for d in docs], "n_tokens": lengths.astype(np.int64), "n_known": np.bincount(of, count[grams.at[0]] > 0, k).astype(np.int64),
+        "train_tokens": np.full(k, n_tokens, np.int64), "base_score": np.bincount(of, np.log10(p1), k), "score": np.bincount(of, np.log10(p), k),
+    })
 
 
 def score(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document, as in `_RESULT`; the model is learned from the documents that are not held out."""
     rows = documents.select(documents[id_col].cast("long"), documents[text])
-    raw = fit(rows)
-    model = Trie(raw)
-    n_tokens, n_words, n_shards = model.n_tokens, model.n_words, max(LEAST_SHARDS, model.n_tokens // SHARD_TOKENS)
-    shared, key = rows.sparkSession.sparkContext.broadcast(raw), uuid.uuid4().hex
-
-    def fn(batches):
-        if key not in _tries:  # one for each worker
-            _tries.clear()
-            trie = Trie(shared.value)
-            _tries[key] = trie, trie.words.access(np.arange(trie.words.n))
-        (trie, frequent), uid = _tries[key], TaskContext.get().partitionId() << 33
+    seen = Observation()
+    most = count_words(rows).observe(seen, F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).orderBy(F.desc("c"), "h").limit(int(1 / HOT_SHARE)).toArrow()
+    n_tokens, n_words = seen.get["tokens"], seen.get["words"]
+    h, c = (most.column(k).to_numpy() for k in range(2))
+    common = np.sort(h[c >= HOT_SHARE * n_tokens].view(np.uint64))
+    n_shards = max(LEAST_SHARDS, n_tokens // SHARD_TOKENS)
+    shared = rows.sparkSession.sparkContext.broadcast((common, hot_contexts(rows, common)))
+
+    def ask(batches):
+        uid = TaskContext.get().partitionId() << 33
+        at = TaskContext.get().partitionId() * 8191  # the shard that passes a block's documents on
         for block in blocks(batches, False):
-            level, doc, hashes = _sequence(block, frequent)
-            k = len(block.docs)
-            uids = np.arange(uid, uid + k)
-            uid += k
-            narrow = np.bincount(doc, trie.token_scores(level), k)
-            inside = level >= 0
-            base = np.bincount(doc[inside], trie.log_p1[level[inside]], k) if len(trie.log_p1) else np.zeros(k)
-            known = np.bincount(doc[inside], minlength=k)
-            none = lambda kind, m=k: pa.nulls(m, kind)
-            yield pa.array(uids), pa.array(block.docs, pa.int64()), pa.array([held_out(d) for d in block.docs]), pa.array([len(x) for x in block.ids], pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(narrow), none(pa.int32()), none(pa.binary())
-            parts = list(_shards(block, level, doc, hashes, uids, n_shards))
-            m = len(parts)
-            if m:
-                yield none(pa.int64(), m), none(pa.int64(), m), none(pa.bool_(), m), none(pa.int64(), m), none(pa.int64(), m), none(pa.float64(), m), none(pa.float64(), m), pa.array([s for s, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())
-
-    own = materialize(_columns(rows, fn, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, narrow double, shard int, payload binary"), "scored")
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_open(p) for p in pdf["payload"]]
-        words, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        c = np.bincount(back, np.concatenate([p[2] for p in parts]).astype(float), len(words))
-        value = np.log10((c + 1) / (n_tokens + n_words + 1))
-        uids, rare, known, at = [], [], [], 0
-        for hashes, docs, _, sizes, tf, d in parts:
-            w = np.repeat(back[at : at + len(hashes)], sizes)
-            at += len(hashes)
-            uids.append(docs)
-            rare.append(np.bincount(d, value[w] * tf, len(docs)))
-            known.append(np.bincount(d, (c[w] > 0) * tf.astype(float), len(docs)))
-        return pd.DataFrame({"uid": np.concatenate(uids), "rare": np.concatenate(rare), "found": np.concatenate(known).astype(np.int64)})
-
-    other = own.where("shard is not null").select("shard", "payload").groupBy("shard").applyInPandas(sums, "uid long, rare double, found long")
-    other = other.groupBy("uid").agg(F.sum("rare").alias("rare"), F.sum("found").alias("found"))
-    out = own.where("uid is not null").select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "narrow").join(other, "uid", "left")
-    rare, found = F.coalesce("rare", F.lit(0.0)), F.coalesce("found", F.lit(0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + found).cast("long").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + rare).alias("base_score"), (F.col("narrow") + rare).alias("score"),
-    )
+            words, ids, lengths = block.hashes(), np.concatenate(block.ids), np.array([len(x) for x in block.ids])
+            train = np.repeat([not held_out(d) for d in block.docs], lengths)
+            parts = list(_requests(Grams(words, ids, lengths, shared.value[0]), train, n_shards))
+            own = zlib.compress(pickle.dumps((block.docs, lengths, ids, words), 5), 1)
+            m = len(parts) + 1
+            yield pa.array([uid] * m, pa.int64()), pa.array([at % n_shards, *(s for s, _ in parts)], pa.int32()), pa.array([True] + [False] * (m - 1)), pa.array([own, *(p for _, p in parts)], pa.binary())
+            uid, at = uid + 1, at + 1
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = ~pdf["own"]
+        if asks.any():
+            pdf.loc[asks, "payload"] = pd.Series(_answers(pdf.loc[asks, "payload"].tolist(), shared.value[1]), pdf.index[asks], object)
+        return pdf
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["payload"][pdf["own"]].iloc[0]
+        rest = pdf[~pdf["own"]]
+        return _combine(own, dict(zip(rest["shard"], rest["payload"])), shared.value[0], n_tokens, n_words, n_shards)
+
+    schema = "block long, shard int, own boolean, payload binary"
+    answers = _columns(rows, ask, schema).groupBy("shard").applyInPandas(answer, schema)
+    return answers.groupBy("block").applyInPandas(combine, _RESULT)

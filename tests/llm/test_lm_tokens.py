@@ -73,6 +73,23 @@ def test_scores_match_a_plain_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_model_grows_with_the_corpus(spark):
+    """A phrase seen twice counts, however many other words the corpus has."""
+    train, held = ([i for i in range(60) if lm_scoring.held_out(i) == x] for x in (False, True))
+    docs = [(train[0], "zig zag zog"), (train[1], "zig zag zog"), (held[0], "zig zag zog"), *((i, "one two three four " * 2_500 + prose(i, 2_000)) for i in train[2:])]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    want = plain_scores(docs)
+    assert got[train[0]].train_tokens > 400_000
+    for i, _ in docs:
+        assert got[i].score == pytest.approx(want[i][4], rel=1e-5)
+    r = got[held[0]]
+    share = lambda p: (2 - lm_scoring.DISCOUNT) / 2 + lm_scoring.DISCOUNT / 2 * p  # noqa: E731  after a context seen twice, always before this word
+    n, v = r.train_tokens, len({t for i, x in docs if not lm_scoring.held_out(i) for t in tokens(x)})
+    p1, end = 3 / (n + v + 1), (sum(not lm_scoring.held_out(i) for i, _ in docs) + 1) / (n + v + 1)
+    probs = [p1, share(p1), share(share(p1)), share(share(end))]
+    assert r.score == pytest.approx(sum(map(math.log10, probs)), rel=1e-5)
+
+
 def test_scores_of_odd_rows(spark, odd):
     assert lm_scoring.score(odd).count() == odd.count()
     assert lm_scoring.score(odd.limit(0)).count() == 0
