@@ -525,6 +525,40 @@ def dupe_clusters(spark, sf):
     return found["clusters"].select("cluster", F.round("score", 6).alias("score"), "size")
 
 
+# Exports and methods together, as the operators define their candidates. The queries above hold exports alone, as their SQL does; these have no SQL and are tested against plain Python.
+
+
+def _whole_pool(spark, sf):
+    return similar.candidates(A.exports(spark, sf), A.members(spark, sf))
+
+
+@query()
+def token_frequency_all(spark, sf):
+    return similar.token_frequency(_whole_pool(spark, sf))
+
+
+@query()
+def similar_topk_all(spark, sf):
+    pool = _whole_pool(spark, sf)
+    return similar.find_similar(pool.orderBy("name", "file_path").limit(1), pool).select("name", "file_path", F.round("score", 6).alias("score"))
+
+
+@query()
+def dupe_blocks_all(spark, sf):
+    return similar.block_keys(similar.numbered(_whole_pool(spark, sf))).groupBy("block").agg(F.count("*").alias("n"))
+
+
+@query()
+def dupe_pairs_all(spark, sf):
+    pairs, _ = similar.candidate_pairs(similar.block_keys(similar.numbered(_whole_pool(spark, sf))))
+    return pairs.select(F.col("a.file_path").alias("file_a"), F.col("a.name").alias("name_a"), F.col("b.file_path").alias("file_b"), F.col("b.name").alias("name_b"))
+
+
+@query()
+def dupe_clusters_all(spark, sf):
+    return similar.dupe_clusters(_whole_pool(spark, sf))["clusters"].select("cluster", F.round("score", 6).alias("score"), "size")
+
+
 # --- incremental -----------------------------------------------------------------------------------------------------------
 
 _PRINTS = """cur AS (SELECT 'doc_' || doc_id AS path, 't' || (doc_id % 3) AS m, coalesce(length(text), 0) AS s, md5(coalesce(text, '')) AS h, doc_id FROM documents),

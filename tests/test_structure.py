@@ -1,10 +1,13 @@
 """A small TypeScript tree from source to answers, and operators on literal tables."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodeglass import adapters as A
+from lodeglass import queries as catalogue
 from lodeglass import schema
 from lodeglass.cli import main
 from lodeglass.functions.names import loc_bounds
@@ -179,6 +182,52 @@ def test_block_overflow(spark):
     assert overflow.count() >= 1 and pairs.count() <= 3 * 64 * 63 // 2
 
 
+def test_methods_are_candidates(spark, tmp_path):
+    """The queries over exports and methods, against plain Python."""
+    parts = [(i, f"red {('widget', 'gadget', 'wheel')[i % 3]}", f"Brand#{i % 4}", ("LARGE TIN", "SMALL TIN")[i % 2], 1 + i % 9) for i in range(40)]
+    suppliers = [(i, i % 3) for i in range(1, 31)]
+    for name, rows, ddl in (("part", parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"), ("supplier", suppliers, "s_suppkey long, s_nationkey long")):
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    methods = {(f"Nation{n}.supply{k}", f"src/nation_{n}.ts"): ["nation", str(n), "supply", str(k)] for k, n in suppliers if k % 5}
+    pool = similar.candidates(A.exports(spark, str(tmp_path)), A.members(spark, str(tmp_path))).collect()
+    assert {(r.name, r.file_path) for r in pool if r.kind == "method"} == set(methods)
+    assert all(set(r.tokens) == set(methods[r.name, r.file_path]) for r in pool if r.kind == "method")
+
+    longer = [(r, [t for t in r.tokens if len(t) > 1]) for r in pool]
+    freq = Counter((r.kind, t) for r, ts in longer for t in ts)
+    assert {(r.kind, r.token): r.freq for r in run("token_frequency_all")} == freq and freq["method", "supply"] == len(methods)
+    shape = lambda r: f"arity={'?' if r.arity is None else r.arity};ret={r.ret or '?'}"
+    key = lambda r: (r.file_path, r.name, r.start_line, r.end_line)
+    blocks = {}
+    for r, ts in longer:
+        for t in sorted(ts, key=lambda t: (freq[r.kind, t], t))[:2]:
+            blocks.setdefault(f"token|{r.kind}|{t}|{shape(r)}", []).append(key(r))
+    assert max(map(len, blocks.values())) <= similar.BLOCK_CAP
+    assert {r.block: r.n for r in run("dupe_blocks_all")} == {b: len(x) for b, x in blocks.items()}
+    pairs = {(a, b) for x in blocks.values() for a in x for b in x if a < b}
+    assert sorted(map(tuple, run("dupe_pairs_all"))) == sorted((a[0], a[1], b[0], b[1]) for a, b in pairs)
+    assert any(a[1].startswith("Nation") for a, _ in pairs)
+
+    by = {key(r): r for r in pool}
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+
+    def plain_score(a, b):
+        near = 1.0 if a.arity == b.arity else 0.5 if None not in (a.arity, b.arity) and abs(a.arity - b.arity) == 1 else 0.0
+        return (0.5 * jac(a.tokens, b.tokens) + 0.25 * (near + (a.ret == b.ret)) / 2 + 0.1 * (a.kind == b.kind)) / 0.85
+
+    links, root = [(a, b) for a, b in pairs if plain_score(by[a], by[b]) >= similar.MIN_DUPLICATE], {k: k for k in by}
+    for _ in by:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    sizes = Counter(root.values())
+    want = sorted(((round(max(plain_score(by[a], by[b]) for a, b in links if root[a] == c), 6), n) for c, n in sizes.items() if n > 1), key=lambda x: (-x[0], -x[1]))[: similar.LIMIT]
+    assert [(r.score, r["size"]) for r in run("dupe_clusters_all")] == want
+    probe = min(pool, key=lambda r: (r.name, r.file_path))
+    found = sorted((-round(plain_score(probe, r), 6), r.name, r.file_path) for r in pool if (r.name, r.file_path) != (probe.name, probe.file_path) and plain_score(probe, r) >= similar.MIN_SIMILAR)[:10]
+    assert probe.kind == "method" and [(-r.score, r.name, r.file_path) for r in run("similar_topk_all")] == found
+
+
 def test_glossary_modes(spark):
     ex = spark.createDataFrame([("f", "a.ts", 1, 2, None, None, "fn")], schema.EXPORTS)
     none = spark.createDataFrame([], schema.MEMBERS)
