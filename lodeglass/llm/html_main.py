@@ -3,8 +3,8 @@
 The page is read into a tree that tolerates unclosed and misnested tags. Subtrees that are not content by tag, role or class name (menus, headers
 and footers of the page, sidebars, notices, adverts, forms, scripts, comments of readers) are left out. Every paragraph passes points to its
 ancestors: one, one for each comma, and up to three for length; whole to the parent, half to the grandparent, less further up. A container's
-points are discounted by the share of its text that is link text. The best container is kept, with those siblings that score a fifth of it or
-are themselves long paragraphs with few links. Its blocks are the text.
+points are discounted by the share of its text that is link text. The best container is kept, and with it all that lies beside it on each level up to the
+article, the main part or the body, whatever its tag, length or points, without blocks and runs of text that are mostly links. Their blocks are the text.
 
 Null html is empty, as is a page without text. Pages are read whole, in linear time but for nesting. Repeated rows are extracted each. Extra columns are ignored.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-SIBLING_SHARE, LONG_PARAGRAPH = 0.2, 80
+LINK_SHARE = 0.5
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|math|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -190,6 +190,32 @@ def blocks(chosen: list[Node]) -> list[str]:
     return out
 
 
+def _leave_links(node: Node, keep: Node) -> None:
+    """Takes the blocks, and the runs of texts and inline tags between blocks, that are mostly links from the items of `node`, but not `keep`."""
+    items, run = [], []
+
+    def end():
+        size = links = 0
+        for x in run:
+            if isinstance(x, str):
+                size += len(" ".join(x.split()))
+            elif not x.dropped:
+                size, links = size + x.inner, links + x.links
+        if links <= LINK_SHARE * size:
+            items.extend(run)
+        run.clear()
+
+    for x in node.items:
+        if isinstance(x, str) or x is not keep and x.tag not in _BLOCK:
+            run.append(x)
+            continue
+        end()
+        if x is keep or x.dropped or x.links <= LINK_SHARE * x.inner:
+            items.append(x)
+    end()
+    node.items = items
+
+
 def main_text(page: str) -> str:
     root = parse(page)
     nodes = _ordered(root)
@@ -200,11 +226,11 @@ def main_text(page: str) -> str:
         return "\n".join(blocks([root]))
     while best.parent is not None and best.tag not in _BLOCK:
         best = best.parent
-    chosen = [best]
-    if best.parent is not None and best.tag not in ("body", "html", "article", "main"):
-        need = SIBLING_SHARE * value(best)
-        chosen = [x for x in best.parent.items if isinstance(x, Node) and not x.dropped and (x is best or value(x) >= need or (x.tag in _PARAGRAPH | {"h1", "h2", "h3"} and x.inner and x.links <= 0.25 * x.inner and (x.inner >= LONG_PARAGRAPH or x.tag[0] == "h")))]
-    return "\n".join(blocks(chosen))
+    top = best
+    while top.parent is not None and top.tag not in ("body", "html", "article", "main"):
+        _leave_links(top.parent, top)
+        top = top.parent
+    return "\n".join(blocks([top]))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

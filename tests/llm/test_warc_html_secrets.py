@@ -70,6 +70,18 @@ def test_main_text():
     assert html_main.main_text("<p>x &lt;b&gt; y</p><script>never closed <p>z") == "x <b> y"
 
 
+def test_main_text_keeps_all_parts():
+    """What lies beside the best container is kept whatever its tag, length or points, link lists apart."""
+    long = ["word, " * 2 + "x" * 138 + str(i) for i in range(5)]
+    best = "<div>" + "".join(f"<p>{x}</p>" for x in long) + "</div>"
+    beside = "Bare <b>text</b> with <a href=/x>a link</a>.<h4>Small head</h4><ul><li>one</li><li>two</li></ul><table><tr><td>1</td></tr></table><p>Short.</p>"
+    links = "<div><a href=/1>More stories</a> <a href=/2>and more</a></div><a href=/3>Next</a> | <a href=/4>Last</a>"
+    want = [*(" ".join(x.split()) for x in long), "Short closing remark."]
+    assert html_main.main_text(f"<body><div id=story>{best}<div><p>Short closing remark.</p></div></div></body>").split("\n") == want
+    got = html_main.main_text(f"<body><div>{links}<div>{best}{beside}</div><div><p>Outer end.</p></div></div><p>Last.</p></body>")
+    assert got.split("\n") == [*want[:-1], "Bare text with a link.", "Small head", "one", "two", "1", "Short.", "Outer end.", "Last."]
+
+
 def test_main_text_survives_noise(spark):
     r = random.Random(4)
     bits = ["<p>", "</p>", "<div class=x>", "</div>", "<", ">", "&amp;", "text, more", "<li>", "<table><tr><td>", "</table>", '<a href="', "'", "<!--", "-->", "<script>", "</script>", "<br/>"]
