@@ -438,9 +438,7 @@ def scc_explain_edges(spark, sf):
 def connected(spark, sf):
     orders = A.table(spark, sf, "orders")
     pairs = orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("b"))
-    out = connected_components(pairs)
-    least = out.agg(F.min("component").alias("component"))
-    return out.join(least, "component", "left_semi").select("node", "component")
+    return connected_components(pairs).select("node", "component")
 
 
 # --- impact ----------------------------------------------------------------------------------------------------------------

@@ -228,6 +228,18 @@ def test_methods_are_candidates(spark, tmp_path):
     assert probe.kind == "method" and [(-r.score, r.name, r.file_path) for r in run("similar_topk_all")] == found
 
 
+def test_connected_query_has_all_components(spark, tmp_path):
+    rows = [(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-02-02"), (4, "2024-03-03"), (4, "2024-02-02"), (5, "2024-05-05")]
+    spark.createDataFrame(rows, "o_custkey long, o_orderdate string").withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    nodes = {x for k, d in rows for x in (f"c{k}", f"d{d}")}
+    root = {x: x for x in nodes}
+    for _ in nodes:
+        for k, d in rows:
+            root[f"c{k}"] = root[f"d{d}"] = min(root[f"c{k}"], root[f"d{d}"])
+    assert len(set(root.values())) == 3
+    assert {(r.node, r.component) for r in catalogue.QUERIES["connected"](spark, str(tmp_path)).collect()} == set(root.items())
+
+
 def test_glossary_modes(spark):
     ex = spark.createDataFrame([("f", "a.ts", 1, 2, None, None, "fn")], schema.EXPORTS)
     none = spark.createDataFrame([], schema.MEMBERS)
