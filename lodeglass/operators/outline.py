@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 from lodeglass.functions.paths import dirname, is_hub
 from lodeglass.operators.lookup import own_named_imports, winners
 
-MAX_SYMBOL_BYTES = 10_240
+MAX_SYMBOL_BYTES, BLOCK = 10_240, 1_000
 
 
 def line_size(start: Column, end: Column) -> Column:
@@ -75,12 +77,15 @@ def source_slice(places: DataFrame, content: DataFrame) -> DataFrame:
 
 def member_suggestions(wanted: DataFrame, members: DataFrame, limit: int = 5) -> DataFrame:
     """(wanted, suggestion, distance) for names that no type has: members whose last part contains it or is contained in it, else those within two edits
-    (names up to eight characters) or three."""
+    (names up to eight characters) or three. Wanted names go to every task in blocks of about `BLOCK`, by hash."""
     last = F.regexp_extract("dotted_name", r"([^.]*)$", 1)
     pool = members.select("dotted_name", last.alias("last")).distinct()
     a, b = F.lower("wanted"), F.lower("last")
     within = F.when(F.length("wanted") <= 8, 2).otherwise(3)
-    rows = pool.join(F.broadcast(wanted.select("wanted").distinct().limit(1000)), b.contains(a) | a.contains(b) | (F.levenshtein(a, b) <= within))
+    names = wanted.select("wanted").distinct()
+    n_blocks = max(1, -(-names.count() // BLOCK))
+    near = b.contains(a) | a.contains(b) | (F.levenshtein(a, b) <= within)
+    rows = reduce(DataFrame.union, [pool.join(F.broadcast(names.where(F.pmod(F.xxhash64("wanted"), F.lit(n_blocks)) == i)), near) for i in range(n_blocks)])
     part = b.contains(a) | a.contains(b)
     scored = rows.select("wanted", F.col("dotted_name").alias("suggestion"), F.when(part, 0).otherwise(F.levenshtein(a, b)).alias("distance"))
     order = Window.partitionBy("wanted").orderBy("distance", "suggestion")

@@ -240,6 +240,13 @@ def test_connected_query_has_all_components(spark, tmp_path):
     assert {(r.node, r.component) for r in catalogue.QUERIES["connected"](spark, str(tmp_path)).collect()} == set(root.items())
 
 
+def test_suggestions_for_many_names(spark):
+    members = spark.createDataFrame([(f"T.n{i:05}xyz", None) for i in range(1200)], "dotted_name string, file_path string")
+    wanted = spark.createDataFrame([(f"n{i:05}xyz",) for i in range(1200)], "wanted string")
+    got = {(r.wanted, r.suggestion) for r in outline.member_suggestions(wanted, members).where("distance = 0").collect()}
+    assert got == {(f"n{i:05}xyz", f"T.n{i:05}xyz") for i in range(1200)}
+
+
 def test_glossary_modes(spark):
     ex = spark.createDataFrame([("f", "a.ts", 1, 2, None, None, "fn")], schema.EXPORTS)
     none = spark.createDataFrame([], schema.MEMBERS)
