@@ -1,7 +1,8 @@
 r"""Secrets in texts, and their structure: patterns find candidates, decoding and parsing confirms them.
 
 Patterns alone report assignments, access keys and long hex runs (the base spans, always kept). The method then decodes base64
-and hex candidates and reports what has the inner structure of a secret: PEM blocks whose body decodes, DER structures
+and hex candidates and reports what has the inner structure of a secret: PEM blocks whose body decodes (with or without headers and
+an armor's checksum; encrypted keys are known by their headers), DER structures
 whose nested lengths add up (private and public keys), OpenSSH keys whose length-prefixed fields fill the whole, and signed
 tokens with a JSON head that names an algorithm. Each confirmed structure is a span of its own kind, after the base kinds.
 
@@ -26,7 +27,9 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----([A-Za-z0-9+/=\s]*+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
+_PEM_HEADERS = re.compile(r"\s*+((?:[A-Za-z][A-Za-z0-9-]*+:[^\n]*+\n(?:[\x20\t]+[^\s][^\n]*+\n)*+)++)[\x20\t\r]*+\n")
+_CHECKSUM = re.compile(r"\s=[A-Za-z0-9+/]{4}\s*\Z")
 _SSH = re.compile(r"\b(?:ssh-(?:rsa|dss|ed25519)|ecdsa-sha2-nistp(?:256|384|521))[\x20\t]+([A-Za-z0-9+/]{40,}={0,2})")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
@@ -89,6 +92,17 @@ def jwt_fits(head: str, body: str) -> bool:
     return isinstance(fields, dict) and isinstance(fields.get("alg"), str) and unbase64(body) is not None
 
 
+def pem_fits(label: str, block: str) -> bool:
+    """Whether what lies between the lines of a PEM block decodes to a key, a PGP packet, or an encrypted key by its headers."""
+    head = _PEM_HEADERS.match(block)
+    body = block[head.end() :] if head else block
+    raw = unbase64(_CHECKSUM.sub("", body) if "PGP" in label else body)
+    if not raw:
+        return False
+    encrypted = head and "PRIVATE KEY" in label and re.search(r"^Proc-Type:[^\n]*\bENCRYPTED\b", head[1], re.M) and re.search(r"^DEK-Info:", head[1], re.M)
+    return bool(encrypted) or der_fits(raw) or raw.startswith(b"openssh-key-v1\0") or "PGP" in label
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12] if "=" in text or ":" in text else []
     if "AKIA" in text:
@@ -102,8 +116,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     free = lambda a, b: all(b <= x or y <= a for _, x, y in found)
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            raw = unbase64(m[2])
-            if raw and (der_fits(raw) or raw.startswith(b"openssh-key-v1\0") or "PGP" in m[1]):
+            if pem_fits(m[1], m[2]):
                 found.append(("pem", *m.span()))
     found += [("ssh", *m.span()) for m in _SSH.finditer(text) if ((raw := unbase64(m[1])) and ssh_fits(raw))] if "ssh-" in text or "ecdsa-" in text else []
     found += [("jwt", *m.span()) for m in _JWT.finditer(text) if jwt_fits(m[1], m[2])] if "eyJ" in text else []

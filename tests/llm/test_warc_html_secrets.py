@@ -135,3 +135,18 @@ def test_base_spans(spark, odd):
     out = secret_scan.scan(df.where("doc_id is not null and doc_id > 10")).collect()
     assert out and all(r.base_sha256 == want[r.doc_id] for r in out)
     assert secret_scan.scan(odd).count() == odd.count() and secret_scan.scan(odd.limit(0)).count() == 0
+
+
+def test_pem_blocks_with_headers():
+    body = "\n".join(base64.b64encode(random.Random(1).randbytes(96)).decode()[i : i + 64] for i in (0, 64))
+    crypt = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    pem = lambda label, inner: f"-----BEGIN {label}-----\n{inner}\n-----END {label}-----"
+    found = lambda text: [s for s in secret_scan.confirmed_spans(text) if s[0] == "pem"]
+    for text in (
+        pem("RSA PRIVATE KEY", crypt + body), pem("EC PRIVATE KEY", crypt + body).replace("\n", "\r\n"),
+        pem("PGP PRIVATE KEY BLOCK", f"Version: GnuPG v2\nComment: my - key\n\n{body}\n=aB3/"), pem("PGP PRIVATE KEY BLOCK", f"\n{body[:-2]}==\n=aB3/"), pem("PGP PRIVATE KEY BLOCK", body),
+    ):
+        assert found(f"see {text} end") == [("pem", 4, 4 + len(text))]
+    for text in (pem("RSA PRIVATE KEY", body), pem("RSA PRIVATE KEY", "Comment: none\n\n" + body), pem("RSA PRIVATE KEY", crypt + "not base64!"), pem("RSA PRIVATE KEY", crypt), pem("RSA PRIVATE KEY", body + "\n=aB3/")):
+        assert not found(text)
+    secret_scan.confirmed_spans("-----BEGIN A-----" * 20_000 + "a: b\n" * 20_000)
