@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +14,7 @@ from lodeglass.graph.components import connected_components
 from lodeglass.operators.listing import in_directory
 from lodeglass.storage import materialize
 
-MIN_SIMILAR, MIN_DUPLICATE, BLOCK_CAP, CLUSTER_CAP, LIMIT = 0.30, 0.90, 64, 64, 10
+MIN_SIMILAR, MIN_DUPLICATE, BLOCK_CAP, CLUSTER_CAP, LIMIT, PROBES = 0.30, 0.90, 64, 64, 10, 1_000
 
 
 def candidates(exports: DataFrame, members: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -50,6 +52,29 @@ def find_similar(probe: DataFrame, pool: DataFrame, directory: str | None = None
     return out.select("b.name", "b.file_path", "b.kind", "name_score", "shape_score", "kind_score", "neighborhood", "score").orderBy(F.desc("score"), "name", "file_path").limit(limit)
 
 
+def find_similar_each(probes: DataFrame, pool: DataFrame, directory: str | None = None, include_tests: bool = False, limit: int = LIMIT) -> DataFrame:
+    """`find_similar` for every row of `probes` (candidate rows, told apart by name, file and lines): (probe_name, probe_file, probe_line, ...) with the `limit` best of each.
+    Probes go to every task in blocks of about `PROBES`, by hash; the pool does not move but for what scores at least 0.30."""
+    rows = pool.where(in_directory(F.col("file_path"), directory))
+    if not include_tests:
+        rows = rows.where(~is_test_path(F.col("file_path")) & ~is_test_symbol(F.col("name"), F.col("kind")))
+    fields = ["name", "file_path", "start_line", "end_line", "signature", "kind", "tokens", "arity", "ret", "near"]
+    key = ["name", "file_path", "start_line", "end_line"]
+    asked = materialize(probes.select(*fields).dropDuplicates(key), "probes")
+    n_blocks = max(1, -(-asked.count() // PROBES))
+    each = rows.select(F.struct(*fields).alias("b"))
+    found = []
+    for i in range(n_blocks):
+        block = asked.where(F.pmod(F.xxhash64(*key), F.lit(n_blocks)) == i).select(F.struct(*fields).alias("a"))
+        joined = each.join(F.broadcast(block), (F.col("a.name") != F.col("b.name")) | (F.col("a.file_path") != F.col("b.file_path")))
+        found.append(scored(joined).where(F.col("score") >= MIN_SIMILAR))
+    ids = [F.col(f"a.{k}") for k in key]
+    order = Window.partitionBy(*ids).orderBy(F.desc("score"), "b.name", "b.file_path")
+    best = reduce(DataFrame.union, found).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    own = [F.col("a.name").alias("probe_name"), F.col("a.file_path").alias("probe_file"), F.col("a.start_line").alias("probe_line")]
+    return best.select(*own, "b.name", "b.file_path", "b.kind", "name_score", "shape_score", "kind_score", "neighborhood", "score")
+
+
 def token_frequency(pool: DataFrame) -> DataFrame:
     """(kind, token, freq): in how many candidates of a kind a token of more than one byte occurs."""
     flat = pool.select(F.coalesce("kind", F.lit("unknown")).alias("kind"), F.explode("tokens").alias("token")).where(F.octet_length("token") > 1)

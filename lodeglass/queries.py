@@ -541,6 +541,18 @@ def similar_topk_all(spark, sf):
     return similar.find_similar(pool.orderBy("name", "file_path").limit(1), pool).select("name", "file_path", F.round("score", 6).alias("score"))
 
 
+@query()
+def similar_topk_each(spark, sf):
+    """The best ten of every symbol whose part or supplier has a key divisible by 20, among all symbols."""
+    pool = _whole_pool(spark, sf)
+    every = lambda rows, key: rows.where(F.col(key) % 20 == 0)
+    asked = every(A.table(spark, sf, "part"), "p_partkey").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), A._part_path().alias("file_path"))
+    number = F.concat(F.lit("Nation"), F.col("s_nationkey").cast("string"))
+    asked = asked.union(every(A.table(spark, sf, "supplier"), "s_suppkey").select(F.concat(number, F.lit(".supply"), F.col("s_suppkey").cast("string")), F.concat(F.lit("src/nation_"), F.col("s_nationkey").cast("string"), F.lit(".ts"))))
+    found = similar.find_similar_each(pool.join(asked, ["name", "file_path"], "left_semi"), pool)
+    return found.select("probe_name", "probe_file", "name", "file_path", F.round("score", 6).alias("score"))
+
+
 @query()
 def dupe_blocks_all(spark, sf):
     return similar.block_keys(similar.numbered(_whole_pool(spark, sf))).groupBy("block").agg(F.count("*").alias("n"))

@@ -247,6 +247,22 @@ def test_suggestions_for_many_names(spark):
     assert got == {(f"n{i:05}xyz", f"T.n{i:05}xyz") for i in range(1200)}
 
 
+def test_similar_for_every_probe(spark, tmp_path, monkeypatch):
+    """Each of many probes gets what it gets alone, also when they are worked off in blocks."""
+    parts = [(i, f"{('red', 'blue')[i % 2]} {('widget', 'gadget', 'wheel')[i % 3]}{i}", f"Brand#{i % 4}", "TIN", 1 + i % 9) for i in range(61)]
+    for name, rows, ddl in (("part", parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"), ("supplier", [(k, 1) for k in range(1, 8)], "s_suppkey long, s_nationkey long")):
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(similar, "PROBES", 2)
+    got = {}
+    for r in catalogue.QUERIES["similar_topk_each"](spark, str(tmp_path)).collect():
+        got.setdefault(r.probe_name, []).append((-r.score, r.name, r.file_path))
+    pool = similar.candidates(A.exports(spark, str(tmp_path)), A.members(spark, str(tmp_path)))
+    assert set(got) == {parts[i][1].replace(" ", "_") for i in (0, 20, 40, 60)}
+    for name, rows in got.items():
+        alone = similar.find_similar(pool.where(F.col("name") == name), pool).collect()
+        assert sorted(rows) == [(-round(r.score, 6), r.name, r.file_path) for r in alone] and len(rows) == 10
+
+
 def test_glossary_modes(spark):
     ex = spark.createDataFrame([("f", "a.ts", 1, 2, None, None, "fn")], schema.EXPORTS)
     none = spark.createDataFrame([], schema.MEMBERS)
