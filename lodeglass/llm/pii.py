@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeglass.storage import fresh_name, materialize
+from lodeglass.storage import materialize
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 BASE = KINDS[:4]
@@ -242,15 +242,14 @@ def detect(documents: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def redact(documents: DataFrame, text: str = "text") -> DataFrame:
-    """`documents` with all their columns; in `text` every span is replaced by its kind in brackets. Null texts stay null. Candidates are found
-    beside the texts, once to learn the classifier and once to apply it, so that texts do not move."""
-    row, found, spans = fresh_name(documents, "_row"), "_found", "_spans"
-    learned = candidates(documents.select(F.col(text).alias("_text")), "_text", [], found)
-    model = fit(learned, found)
+    """`documents` with all their columns; in `text` every span is replaced by its kind in brackets. Null texts stay null. Candidates are written once
+    beside the documents: the classifier is learned from their column alone and then applied to the table."""
+    row, found, spans = "_document", "_found", "_spans"
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(row), F.col(text).alias("_text"))
-    base, added = accepted(found, model)
+    beside = materialize(candidates(packed, "_text", [row], found), "candidates")
+    base, added = accepted(found, fit(beside, found))
     by_place = F.array_sort(F.transform(F.concat(base, added), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-    marked = candidates(packed, "_text", [row], found).select(row, by_place.alias(spans))
+    marked = beside.select(row, by_place.alias(spans))
     body = F.col(row)[text]
 
     def put(acc, c):

@@ -1,29 +1,28 @@
-"""Quality rules whose cutoffs come with a proof: at most a stated share of good documents is rejected.
+"""Quality rules whose cutoffs come with a proof: a rule rejects at most a stated share of good documents.
 
-Each rule rejects documents whose value lies above a cutoff. The cutoffs form levels, from strict to lenient; a level rejects what any of its rules
-rejects. For every stratum (language) and level, the labelled holdout gives n good documents and k of them rejected. The exact binomial
-tail P(Bin(n, alpha) <= k) is the p-value of "this level rejects more than its share"; Holm's step-down corrects for all tests at once. A
-stratum uses the strictest certified level, none if no level is certified. With probability 1 - delta, no stratum loses more than `alpha` of its
-good documents to the rules together.
+Each rule rejects documents whose value lies above a cutoff. A rule's cutoffs are nested, from strict to lenient. For every stratum (language),
+rule and cutoff, the labelled holdout gives n good documents that pass the base rules, and k of them rejected. The exact binomial tail
+P(Bin(n, alpha) <= k) is the p-value of "this cutoff rejects more than its share". The cutoffs of a rule are tested in fixed sequence, lenient to strict, which
+needs no correction among them; Bonferroni's correction holds for all strata and rules together. A stratum uses each rule's strictest certified cutoff,
+and a rule without one does not act there. Strata with fewer than `MIN_GOOD` good labels, too few to prove anything, and those without labels are one stratum
+together, the pooled one, with tests of its own. So with probability 1 - delta, no rule loses more than `alpha` of the good documents of any stratum (of the pooled one: of all
+its documents together) that the base rules pass. Base rules are given, not chosen, and are not part of this.
 
-All of it is column expressions: no Python runs on executors. Text never moves through a shuffle.
+All of it is column expressions: no Python runs on executors. Text never moves through a shuffle. Windows of three words compare by 64-bit hashes.
 
-Nulls: a null text has no words (and so fails the base rules); a null stratum is a stratum of its own; labels with a null
+Nulls: a null text has no words (and so fails the base rules); a null stratum is the stratum of the empty name; labels with a null
 id or quality are ignored; a document labelled several times counts as good if its lowest quality is 1. Empty tables give
-empty results. Repeated rows are each judged. Extra columns are ignored here (`reject_filter` keeps them).
+empty results. Repeated rows are each judged, and each count if labelled. Very long texts are measured whole. Extra columns are ignored here, whatever their names (`reject_filter` keeps them).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodeglass.storage import fresh_name, materialize
+from lodeglass.storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -38,7 +37,7 @@ RULES = {
     "length": ("word_chars / greatest(n_words, 1)", (7.0, 8.0, 9.0, 10.0, 12.0, 16.0)),
 }
 LEVELS = 6
-ALPHA, DELTA = 0.01, 0.05
+ALPHA, DELTA, MIN_GOOD = 0.02, 0.05, 400
 MIN_WORDS = 50
 
 
@@ -97,40 +96,47 @@ def _tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.aggregate(steps, begin, step, lambda acc: F.exp(acc["sum"])))
 
 
-def certify(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Every test: stratum, level, n_good, n_rejected, p_value, certified. One row per stratum and level.
+def certify(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, min_good: int = MIN_GOOD) -> DataFrame:
+    """Every test: stratum (null: the pooled one), rule, level, n_good, n_rejected (of the good), n_bad, n_caught (of the bad), p_value, certified.
+    `measured` should be a written table: every test is an expression over its columns.
 
-    The only shuffles are the join of narrow measures with the labels and a count per stratum, combined before it moves.
+    The only shuffles are the join of narrow measures with the labels and counts per stratum, combined before they move.
     """
-    good = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("_quality")).where("_quality = 1")
-    rows = measured.join(good, measured[id_col] == good["_id"]).where(~base_failed())
-    rejects = [reduce(or_, [F.expr(value) > grid[i] for value, grid in RULES.values()]) for i in range(LEVELS)]
-    sums = rows.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).agg(F.count("*").alias("n_good"), *[F.count_if(r).alias(f"k{i}") for i, r in enumerate(rejects)])
-    tests = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"k{i}").alias("n_rejected")) for i in range(LEVELS)])
-    flat = sums.select("stratum", "n_good", F.explode(tests).alias("t")).select("stratum", "n_good", "t.level", "t.n_rejected")
+    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("_quality"))
+    rows = measured.join(known, measured[id_col] == known["_id"]).where(~base_failed())
+    good, bad = F.col("_quality") == 1, F.col("_quality") == 0
+    cells = [(rule, i, F.expr(value) > grid[i]) for rule, (value, grid) in RULES.items() for i in range(LEVELS)]
+    counts = [F.count_if(good).alias("n_good"), F.count_if(bad).alias("n_bad")]
+    counts += [F.count_if(r & of).alias(f"{kind}_{rule}_{i}") for rule, i, r in cells for kind, of in (("k", good), ("c", bad))]
+    sums = rows.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).agg(*counts)
+    names = sums.columns[1:]
+    pooled = sums.groupBy(F.when(F.col("n_good") >= min_good, F.col("stratum")).alias("stratum")).agg(*[F.sum(c).alias(c) for c in names])
+    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("level"), F.col(f"k_{rule}_{i}").alias("n_rejected"), F.col(f"c_{rule}_{i}").alias("n_caught")) for rule, i, _ in cells])
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # as many rows as strata
+    families = pooled.withColumn("_m", F.count("*").over(every) * len(RULES))
+    flat = families.select("stratum", "n_good", "n_bad", "_m", F.explode(tests).alias("t")).select("stratum", "t.rule", "t.level", "n_good", "t.n_rejected", "n_bad", "t.n_caught", "_m")
     flat = flat.withColumn("p_value", _tail(F.col("n_good"), F.col("n_rejected"), alpha))
-    # Holm: at the i-th smallest p-value the level is delta / (tests - i + 1), and all before must have passed. As many rows as strata have levels.
-    order = Window.orderBy("p_value", "stratum", "level")
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = flat.withColumn("_i", F.row_number().over(order)).withColumn("_m", F.count("*").over(every))
-    passed = F.col("p_value") <= F.lit(delta) / (F.col("_m") - F.col("_i") + 1)
-    return ranked.withColumn("certified", F.min(passed).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_i", "_m")
+    # A stricter cutoff rejects no fewer documents and has no smaller p-value, so the sequence stops at the first that fails.
+    return flat.withColumn("certified", F.col("p_value") <= F.lit(delta) / F.col("_m")).drop("_m")
 
 
-def cutoffs(tests: DataFrame) -> dict[tuple[str, str], float]:
-    """The cutoffs of each stratum's strictest certified level: at most strata x rules numbers."""
-    rows = tests.where("certified").groupBy("stratum").agg(F.min("level").alias("level")).collect()
-    return {(r["stratum"], rule): float(grid[r["level"]]) for r in rows for rule, (_, grid) in RULES.items()}
+def cutoffs(tests: DataFrame) -> dict[tuple[str | None, str], float | None]:
+    """By stratum (None: the pooled one) and rule, the strictest certified cutoff, None without one: strata x rules numbers. Strata without an entry are in the pooled one."""
+    rows = tests.groupBy("stratum", "rule").agg(F.min(F.when(F.col("certified"), F.col("level"))).alias("level")).collect()
+    return {(r["stratum"], r["rule"]): None if r["level"] is None else float(RULES[r["rule"]][1][r["level"]]) for r in rows}
 
 
-def verdict(cuts: dict[tuple[str, str], float], stratum: str = "lang") -> Column:
+def verdict(cuts: dict[tuple[str | None, str], float | None], stratum: str = "lang") -> Column:
     """True where no certified rule of the row's stratum rejects."""
-    ok: Column = F.lit(True)
+    ok, none = F.lit(True), F.lit(float("inf"))
     for rule, (value, _) in RULES.items():
         own = {s: c for (s, r), c in cuts.items() if r == rule}
+        rest = own.pop(None, None)
+        most = none if rest is None else F.lit(rest)
         if own:
-            limits = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
-            ok = ok & F.coalesce(F.expr(value) <= F.element_at(limits, F.coalesce(F.col(stratum), F.lit(""))), F.lit(True))
+            limits = F.create_map(*[x for s, c in sorted(own.items()) for x in (F.lit(s), none if c is None else F.lit(c))])
+            most = F.coalesce(F.try_element_at(limits, F.coalesce(F.col(stratum), F.lit(""))), most)
+        ok = ok & (F.expr(value) <= most)
     return ok
 
 
@@ -143,16 +149,13 @@ def assess(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def reject_filter(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """`documents` with all their columns, without those that `assess` rejects. The verdict is computed beside each text, so
-    that texts do not move; only the measures of labelled documents do."""
-    labelled = materialize(measures(documents, text, (id_col, stratum)), "quality")
-    cuts = cutoffs(certify(labelled, labels, id_col, stratum))
-    whole, place = fresh_name(documents, "_row"), "_place"
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(whole), F.col(text), F.col(stratum))
-    # The row's place is not deterministic: it keeps the optimizer from moving the filter below the measures, which it would then compute anew for each use.
-    found = measures(packed, text, (whole, stratum)).withColumn(place, F.monotonically_increasing_id())
-    kept = found.where(~base_failed() & verdict(cuts, stratum) & (F.col(place) >= 0))
-    return kept.select(*[F.col(whole)[c].alias(c) for c in documents.columns])
+    """`documents` with all their columns, without those that `assess` rejects. The measures are written once beside the documents: the tests
+    read their narrow columns alone, the verdicts then filter the table."""
+    whole = "_document"
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(whole), F.col(text).alias("_body"), F.col(id_col).alias("_doc"), F.col(stratum).alias("_stratum"))
+    found = materialize(measures(packed, "_body", (whole, "_doc", "_stratum")), "quality")
+    cuts = cutoffs(certify(found.drop(whole), labels.select(F.col(id_col).alias("_doc"), "quality"), "_doc", "_stratum"))
+    return found.where(~base_failed() & verdict(cuts, "_stratum")).select(*[F.col(whole)[c].alias(c) for c in documents.columns])
 
 
 def schema() -> T.StructType:

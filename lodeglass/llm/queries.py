@@ -77,9 +77,11 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-_ANY = [" OR ".join(f"({value})::DOUBLE > {grid[i]}" for value, grid in quality_rules.RULES.values()) for i in range(quality_rules.LEVELS)]
-_TESTS = " UNION ALL ".join(f"SELECT stratum, {i} AS level, count(*) AS n, count(*) FILTER ({any_}) AS k FROM good GROUP BY 1" for i, any_ in enumerate(_ANY))
-_VERDICT = " AND ".join(f"coalesce(({value})::DOUBLE <= ({list(map(float, grid))})[level + 1]::DOUBLE, true)" for value, grid in quality_rules.RULES.values())
+_TESTS = " UNION ALL ".join(
+    f"SELECT stratum, '{rule}' AS rule, {i} AS level, count(*) AS n, count(*) FILTER (({value})::DOUBLE > {cut}) AS k FROM keyed GROUP BY 1" for rule, (value, grid) in quality_rules.RULES.items() for i, cut in enumerate(grid)
+)
+_VERDICT = " AND ".join(f"coalesce(({value})::DOUBLE <= ({list(map(float, grid))})[{rule} + 1]::DOUBLE, true)" for rule, (value, grid) in quality_rules.RULES.items())
+_LEVELS = ", ".join(f"min(level) FILTER (rule = '{rule}') AS {rule}" for rule in quality_rules.RULES)
 _SHARE = quality_rules.ALPHA
 OP1 = f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
@@ -91,12 +93,13 @@ m AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w,
     FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 good AS (SELECT f.*, coalesce(lang, '') AS stratum FROM f JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
+own AS (SELECT stratum FROM good GROUP BY 1 HAVING count(*) >= {quality_rules.MIN_GOOD}),
+keyed AS (SELECT good.* EXCLUDE (stratum), own.stratum FROM good LEFT JOIN own USING (stratum)),
 tests AS ({_TESTS}),
 p AS (SELECT *, CASE WHEN k >= n * {_SHARE} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_SHARE}) + (n - j) * ln(1 - {_SHARE})))) END AS pv FROM tests),
-steps AS (SELECT *, pv <= {quality_rules.DELTA} / (count(*) OVER () - row_number() OVER (ORDER BY pv, stratum, level) + 1) AS pass FROM p),
-holm AS (SELECT *, bool_and(pass) OVER (ORDER BY pv, stratum, level ROWS UNBOUNDED PRECEDING) AS ok FROM steps),
-best AS (SELECT stratum, min(level) AS level FROM holm WHERE ok GROUP BY 1)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_VERDICT} AS kept FROM f LEFT JOIN best ON stratum = coalesce(lang, '')"""
+best AS (SELECT stratum, {_LEVELS} FROM p WHERE pv <= {quality_rules.DELTA} / (SELECT count(*) * {len(quality_rules.RULES)} FROM (SELECT DISTINCT stratum FROM keyed)) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_VERDICT} AS kept
+FROM f LEFT JOIN own ON own.stratum = coalesce(lang, '') LEFT JOIN best ON best.stratum IS NOT DISTINCT FROM own.stratum"""
 
 OP3 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1)
