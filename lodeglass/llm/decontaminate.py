@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeglass.llm.arrow import frugal
 from lodeglass.storage import fresh_name
 
 WINDOW, BLOCK_BYTES = 13, 16_000_000
@@ -99,7 +100,7 @@ def _scan(rows: DataFrame, keep: list[str], text: str, block: list[tuple[str, by
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for part in batches:
+        for part in frugal(batches):
             counts, hits, items = [], [], []
             for cell in part.column(part.num_columns - 1).cast(pa.binary()):
                 words = words_of(cell.as_py() or b"")

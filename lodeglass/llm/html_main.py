@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodeglass.llm.arrow import frugal
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 LINK_SHARE = 0.5
 
@@ -237,7 +239,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     """One row per page, as in `SCHEMA`."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in frugal(batches):
             texts = [main_text(x.as_py() or "") for x in part.column(2)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lodeglass.llm.arrow import frugal
 from lodeglass.llm.elias_fano import EliasFano
 
 WORD_SHARE = GRAM_SHARE = 0.0  # nothing is left out for its share of the corpus
@@ -65,7 +66,7 @@ class Block:
 
 def blocks(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[Block]:
     block = Block()
-    for part in batches:
+    for part in frugal(batches):
         for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary())):
             if train_only and held_out(doc):
                 continue

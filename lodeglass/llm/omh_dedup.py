@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeglass.graph.components import connected_components
+from lodeglass.llm.arrow import frugal
 from lodeglass.storage import materialize
 
 WORDS, SIMILARITY, MINIMA, TUPLES, BANDS = 5, 0.8, 2, 2, 36
@@ -218,7 +219,7 @@ def sketches(documents: DataFrame, id_col: str, text: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, cache = Hasher(), {}
-        for part in batches:
+        for part in frugal(batches):
             nodes, bands = [], []
             for cell in part.column(1).cast(pa.binary()):
                 words = (cell.as_py() or b"").lower().split()
@@ -252,7 +253,7 @@ def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 held += known[node].n
             return known[node]
 
-        for part in batches:
+        for part in frugal(batches):
             keep = [linked(sequence(x.as_py(), wx), sequence(y.as_py(), wy)) for x, y, wx, wy in zip(*(part.column(at[c]) for c in ("a", "b", "_wa", "_wb")))]
             yield pa.RecordBatch.from_arrays(part.columns[:-2], names=pairs_columns).filter(pa.array(keep, pa.bool_()))
 
@@ -273,7 +274,7 @@ def link(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> tu
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for part in batches:
+        for part in frugal(batches):
             nodes, words = [], []
             for node, cell in zip(part.column(0), part.column(1).cast(pa.binary())):
                 found, node = (cell.as_py() or b"").lower().split(), node.as_py()

@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lodeglass.llm.arrow import frugal
+
 SEQUENCE, END_ID, WELL_FILLED, BLOCK = 2048, 1, 0.99, 4_000_000
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 500_000
 _TAIL = ".,!;:?"
 
 
@@ -212,7 +214,7 @@ def pack(documents: DataFrame, id_col: str = "doc_id", text: str = "text", room:
             rows.clear()
             return out
 
-        for part in batches:
+        for part in frugal(batches):
             for doc, body in zip(part.column(0), part.column(1)):
                 ids = coder.encode(body.as_py() or "") + end
                 key, full = (doc.as_py(), len(ids) // 4), len(ids) // (4 * room) * room

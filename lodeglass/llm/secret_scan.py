@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodeglass.llm.arrow import frugal
+
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -140,7 +142,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-        for part in batches:
+        for part in frugal(batches):
             rows = []
             for cell in part.column(1):
                 base, more = scan_text(cell.as_py() or "")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeglass.llm.arrow import frugal
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF_CHARS, CACHE = 512, 200_000
 SCHEMA = "doc_id long, n_chars long, n_tokens long, n_edits long, chars_after long, tokens_after long, chars_encoded long"
@@ -193,7 +195,7 @@ def count_edited(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary)
-        for part in batches:
+        for part in frugal(batches):
             out = []
             for doc, body, changes in zip(part.column(0), part.column(1), part.column(2)):
                 tree = TokenTree(body.as_py() or "", own)

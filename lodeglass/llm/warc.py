@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeglass.llm.arrow import frugal
 from lodeglass.storage import materialize
 
 ROTATE, MIN_BYTES = 8_000_000, 0
@@ -53,7 +54,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     """Rows (archive string, content binary) in the shared folder; every page is one record."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in frugal(batches):
             raw = [(x.as_py() or "").encode() for x in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([digest(x) for x in raw], pa.string()), pa.array(map(len, raw), pa.int64())], names=["id", "sha", "size"])
 
@@ -62,7 +63,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     later = found.join(first, "sha").where("id is null or id != first").groupBy("id", "sha").agg(F.min("first").alias("first"))
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in frugal(batches):
             raw = [(x.as_py() or "").encode() for x in part.column(2)]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array(raw, pa.binary()), pa.array([digest(x) for x in raw], pa.string())], names=["id", "url", "payload", "sha"])
 
@@ -79,7 +80,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
             n, size = n + 1, 0
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["archive", "content"])
 
-        for part in batches:
+        for part in frugal(batches):
             for page, at, payload, sha, target in zip(*part.columns):
                 parts.append(record(page.as_py(), at.as_py(), payload.as_py(), sha.as_py(), target.as_py()))
                 size += len(parts[-1])
@@ -145,7 +146,7 @@ def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_())])
-        for part in batches:
+        for part in frugal(batches):
             for cell in part.column(0):
                 body = cell.as_py() or b""
                 starts, nexts = candidates(body)
