@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from lodeglass.graph.components import connected_components
 from lodeglass.llm.arrow import frugal
-from lodeglass.storage import materialize
+from lodeglass.storage import discard, materialize
 
 WORDS, SIMILARITY, MINIMA, TUPLES, BANDS = 5, 0.8, 2, 2, 36
 SHARE = SIMILARITY / (1 + SIMILARITY)  # of both texts' words together, that must be aligned
@@ -295,7 +295,8 @@ def link(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> tu
         pairs = now.join(mixed.select("band", "pivot"), "band").where(F.col("class") != F.col("pivot.class")).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("class").alias("own"), F.col("pivot.class").alias("other")).distinct()
         more = materialize(_aligned(pairs, texts), "links")
         links = more if links is None else links.union(more)
-        now = materialize(_joined_classes(now, more, 1 if i == 0 else SALT), "members")
+        last, now = members if i == 0 else now, materialize(_joined_classes(now, more, 1 if i == 0 else SALT), "members")
+        discard(last)
     links = links.select("a", "b")
     mixed = now.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size")).where("low != high")
     rest = materialize(now.join(mixed, "band").select("band", "node", "class", "size"), "members")
