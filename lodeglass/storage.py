@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-FILES_PER_CORE = 4
+FILES_PER_CORE = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
