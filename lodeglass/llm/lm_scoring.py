@@ -1,17 +1,21 @@
 """Scores of texts under an n-gram model of the whole corpus, held in Elias-Fano tries by shards.
 
-The model is interpolated absolute discounting over add-one unigrams, orders 1 to 3. Unigram counts are exact for every word; every bigram and trigram
-that occurs at least `MIN_COUNT` times in training texts is kept, however large the corpus, so the model grows with the corpus.
+The model is interpolated Dirichlet smoothing over add-one unigrams, orders 1 to 3: an n-gram's probability is (c + m * p) / (C + m) with its count c, its context's
+count C, the probability p one order below and the order's weight m. Every word, bigram and trigram of the training texts is in it, however rare and however large
+the corpus, so the model grows with the corpus.
 
-No machine holds the model. A block of documents sends its distinct words, bigrams and trigrams with their training counts to shards, by the hash of their
-context (words: their own), as packed arrays (an n-gram is named by 40 bits within its context), one for each (block, shard). A shard sums the counts, builds its part of the model as a trie (ascending
-hashes of contexts and of kept n-grams, Elias-Fano coded, with their probabilities), looks all its n-grams up and answers each block. A block adds up its answers.
+No machine holds the model. A block of documents sends its distinct words, bigrams and trigrams with their training counts to shards, as packed paths: a shard has all that
+begins with a word, so a bigram is a 32-bit name below its first word, and a trigram one below its bigram. A shard sums the counts and builds its part of the model as a trie: ascending
+names below their contexts, Elias-Fano coded, with monotone pointers from contexts to their successors, and 16-bit codes of the smoothed parts c / (C + m) and m / (C + m).
+It looks all paths up, each name by a search among its context's successors, and answers each block with the codes. A block adds up its answers. A block and a shard
+exchange a row if they share an n-gram, so there are never more rows than n-grams in blocks.
 
-A context of very common words could make one shard hot. Words with at least `HOT_SHARE` of all training tokens are at most 1 / HOT_SHARE; n-grams whose context
-consists of them go to shards by their own hash, and the totals of these contexts are counted before and go to every task.
+What begins with a very common word could make one shard hot. Words with at least `HOT_SHARE` of all training tokens are at most 1 / HOT_SHARE; bigrams that begin with one go to
+shards by their own hash, with the trigrams below them, and trigrams that begin with two of them by their own hash as well. The counts of these words are known to every task.
 
 Null and empty texts are their end token alone. A null id counts as the empty text. Repeated rows are learned and scored each. With no training tokens
-every count is 0. Words and contexts are told apart by 64-bit hashes, the successors of a context by 40 bits.
+every count is 0. An empty table gives an empty result. Very long texts are one document of one block. Extra columns are ignored, whatever their names. Words are told apart by 64-bit hashes, the
+successors of a context by 32 bits. Codes are within 0.03 % of the probabilities; base scores are exact.
 """
 
 from __future__ import annotations
@@ -31,11 +35,10 @@ from pyspark.sql import functions as F
 from lodeglass.llm.arrow import frugal
 from lodeglass.llm.elias_fano import EliasFano
 
-WORD_SHARE = GRAM_SHARE = 0.0  # nothing is left out for its share of the corpus
-MIN_COUNT, HOT_SHARE, DISCOUNT = 2, 2e-3, 0.75
+HOT_SHARE, WEIGHTS = 2e-3, (None, 100.0, 5.0)  # the weights of the order below, by order
 FOLDS, HELD_OUT, END = 7, 2, b"\n"
 BLOCK_TOKENS, SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 2_000_000, 256
-_TOP = (1 << 64) - 1
+_STEP = 5e-4  # of the codes, in natural logarithms
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -111,180 +114,164 @@ def _contains(ascending: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The distinct n-grams of a block. By order (0 to 2): `hashes`, `context` (number of the n-gram before the last word, one order below), whether the context is
-    `hot`, and `at`, the number of the n-gram that ends at each token (-1 where the document begins later)."""
+    """The distinct words, bigrams and trigrams of a block, numbered in the order of their contexts' numbers, and where they go.
 
-    def __init__(self, words: np.ndarray, ids: np.ndarray, lengths: np.ndarray, hot: np.ndarray):
+    `at`: by order, the number of the n-gram that ends at each token (-1 where the document begins later). `first`, `pair`: the first word of each bigram, the first bigram of
+    each trigram. `names`: 32 bits of the last word. Bigrams and trigrams are dealt in the order of (shard, number); `loose` are trigrams that begin with two hot words.
+    """
+
+    def __init__(self, words: np.ndarray, ids: np.ndarray, lengths: np.ndarray, hot: np.ndarray, n_shards: int):
         place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         ids, base = ids.astype(np.int64), len(words)
-        common = _contains(hot, words)
-        self.hashes, self.context, self.hot, self.at = [words], [None], [np.zeros(base, bool)], [ids]
+        self.words, self.at, self.n_shards = words, [ids], n_shards
+        is_hot, shards = _contains(hot, words), np.uint64(n_shards)
+        keys = []
         for n in (1, 2):
             ok = np.flatnonzero(place >= n)
             key, back = np.unique(self.at[-1][ok - 1] * base + ids[ok], return_inverse=True)
             at = np.full(len(ids), -1)
             at[ok] = back
-            context, last = key // base, key % base
-            self.hashes.append(gram_hash(self.hashes[-1][context], words[last]))
-            self.hot.append(common[context])
-            common = common[context] & common[last]
-            self.context.append(context)
             self.at.append(at)
-
-    def counts(self, n: int, train: np.ndarray) -> np.ndarray:
-        ok = (self.at[n] >= 0) & train
-        return np.bincount(self.at[n][ok], minlength=len(self.hashes[n]))
-
-    def layout(self, n: int, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order of the n-grams by shard and context, where each shard begins in it, the context of each run of equal ones, sizes of the runs, where each shard's runs begin)."""
-        borders = np.arange(n_shards + 1)
-        if not n:
-            shard = (self.hashes[0] % np.uint64(n_shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            none = np.zeros(0, np.int64)
-            return order, np.searchsorted(shard[order], borders), none, none, np.zeros(n_shards + 1, np.int64)
-        context = self.context[n]
-        shard = (np.where(self.hot[n], self.hashes[n], self.hashes[n - 1][context]) % np.uint64(n_shards)).astype(np.int64)
-        order = np.lexsort((context, shard))
-        shard, context = shard[order], context[order]
-        begin = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (context[1:] != context[:-1]))) if len(order) else np.zeros(0, np.int64)
-        return order, np.searchsorted(shard, borders), context[begin], np.diff(np.append(begin, len(order))), np.searchsorted(shard[begin], borders)
-
-
-def _requests(grams: Grams, train: np.ndarray, n_shards: int) -> Iterator[tuple[int, bytes]]:
-    """For each shard: by order, the contexts with the sizes of their runs, the n-grams and their training counts."""
-    parts = []
-    for n in range(3):
-        order, cuts, context, sizes, runs = grams.layout(n, n_shards)
-        known, keys = grams.hashes[n - 1][context] if n else np.zeros(0, np.uint64), grams.hashes[n][order]
-        names = np.ascontiguousarray((keys >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]) if n else keys
-        parts.append((known, sizes.astype(np.uint32), names, grams.counts(n, train)[order].astype(np.uint32), runs, cuts))
-    for shard in range(n_shards):
-        slices = [(*(x[runs[shard] : runs[shard + 1]] for x in (known, sizes)), *(x[cuts[shard] : cuts[shard + 1]] for x in (names, counts))) for known, sizes, names, counts, runs, cuts in parts]
-        head = np.array([k for s in slices for k in (len(s[0]), len(s[2]))], np.int64)
-        if head.any():
-            yield shard, b"".join([head.tobytes(), *(x.tobytes() for s in slices for x in (s[0], s[2])), zlib.compress(b"".join(x.tobytes() for s in slices for x in (s[1], s[3])), 1)])
-
-
-def _open(payload: bytes) -> list[tuple[np.ndarray, ...]]:
-    """By order: contexts, sizes of their runs, hashes of the n-grams within their contexts, counts."""
-    head, at, found = np.frombuffer(payload, np.int64, 6).tolist(), 48, []
-    for n in range(3):
-        runs, size = head[2 * n : 2 * n + 2]
-        known = np.frombuffer(payload, np.uint64, runs, at)
-        names = np.frombuffer(payload, np.uint8, size * (5 if n else 8), at + 8 * runs)
-        at += 8 * runs + len(names)
-        found.append((known, names))
-    small, at, out = zlib.decompress(payload[at:]), 0, []
-    for n, (known, names) in enumerate(found):
-        runs, size = head[2 * n : 2 * n + 2]
-        sizes, counts = np.frombuffer(small, np.uint32, runs, at), np.frombuffer(small, np.uint32, size, at + 4 * runs)
-        at += 4 * (runs + size)
-        if n:
-            wide = np.zeros((size, 8), np.uint8)
-            wide[:, :5] = names.reshape(-1, 5)
-            keys = gram_hash(np.repeat(known, sizes), wide.view(np.uint64).ravel())
-        else:
-            keys = names.view(np.uint64)
-        out.append((known, sizes, keys, counts))
+            keys.append(key)
+        self.first, second = keys[0] // base, keys[0] % base
+        self.pair, last = keys[1] // base, keys[1] % base
+        pairs = gram_hash(words[self.first], words[second])
+        whole = gram_hash(pairs[self.pair], words[last])
+        short = (words >> np.uint64(32)).astype(np.uint32)
+        both = is_hot[self.first] & is_hot[second]
+        own = (np.where(is_hot[self.first], pairs, words[self.first]) % shards).astype(np.int64)
+        #: Bigrams by shard, then number, and the same of trigrams below them and of loose ones.
+        self.entries = np.argsort(own, kind="stable")
+        self.entry_cuts = np.searchsorted(own[self.entries], np.arange(n_shards + 1))
+        below, loose = np.flatnonzero(~both[self.pair]), np.flatnonzero(both[self.pair])
+        order = np.argsort(own[self.pair[below]], kind="stable")
+        self.leaves = below[order]
+        self.leaf_cuts = np.searchsorted(own[self.pair[self.leaves]], np.arange(n_shards + 1))
+        there = (whole[loose] % shards).astype(np.int64)
+        order = np.argsort(there, kind="stable")
+        self.loose, self.loose_cuts = loose[order], np.searchsorted(there[order], np.arange(n_shards + 1))
+        self.loose_keys, self.entry_names, self.leaf_names = whole[self.loose], short[second[self.entries]], short[last[self.leaves]]
+        #: Runs of bigrams with the same first word within a shard.
+        word, shard = self.first[self.entries], own[self.entries]
+        begin = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (shard[1:] != shard[:-1]))) if len(word) else np.zeros(0, np.int64)
+        self.roots, self.root_sizes = word[begin], np.diff(np.append(begin, len(word)))
+        self.root_cuts = np.searchsorted(shard[begin], np.arange(n_shards + 1))
+        self.entry_sizes = np.bincount(self.pair[below], minlength=len(keys[0]))[self.entries]
+
+    def requests(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """For each shard: first words, names of their successors and of theirs, whole hashes of loose trigrams; run sizes and training counts."""
+        counts = [np.bincount(at[(at >= 0) & train], minlength=n) for at, n in zip(self.at, (len(self.words), len(self.first), len(self.pair)))]
+        plain = [self.words[self.roots], self.entry_names, self.leaf_names, self.loose_keys]
+        small = [counts[0][self.roots], self.root_sizes, counts[1][self.entries], self.entry_sizes, counts[2][self.leaves], counts[2][self.loose]]
+        small = [x.astype(np.uint32) for x in small]
+        cuts = [self.root_cuts, self.entry_cuts, self.leaf_cuts, self.loose_cuts]
+        for shard in range(self.n_shards):
+            part = [slice(c[shard], c[shard + 1]) for c in cuts]
+            head = np.array([p.stop - p.start for p in part], np.int64)
+            if head.any():
+                r, e, f, o = part
+                tail = zlib.compress(b"".join(x[p].tobytes() for x, p in zip(small, (r, r, e, e, f, o))), 1)
+                yield shard, b"".join([head.tobytes(), *(x[p].tobytes() for x, p in zip(plain, part)), tail])
+
+
+def _arrays(payload: bytes, kinds: tuple, sizes: tuple, at: int = 0) -> tuple[list[np.ndarray], int]:
+    out = []
+    for kind, size in zip(kinds, sizes):
+        out.append(np.frombuffer(payload, kind, size, at))
+        at += out[-1].nbytes
+    return out, at
+
+
+def _open(payload: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(first words, names, names below them, loose hashes), (counts and run sizes of first words, of names, counts of names below and loose ones)."""
+    r, e, f, o = np.frombuffer(payload, np.int64, 4).tolist()
+    plain, at = _arrays(payload, (np.uint64, np.uint32, np.uint32, np.uint64), (r, e, f, o), 32)
+    small, _ = _arrays(zlib.decompress(payload[at:]), (np.uint32,) * 6, (r, r, e, e, f, o))
+    return plain, small
+
+
+def to_codes(p: np.ndarray) -> np.ndarray:
+    """16-bit codes of numbers from 0 to 1: 0 for 0, else one more than the steps of their logarithm."""
+    out = np.zeros(len(p), np.uint16)
+    some = p > 0
+    out[some] = np.minimum(1 + np.rint(-np.log(p[some]) / _STEP), 65535).astype(np.uint16)
     return out
 
 
-def hot_contexts(rows: DataFrame, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ascending hashes, training counts, discounted counts of the kept successors) of the contexts that consist of the `hot` words: at most 1 / HOT_SHARE + 1 / HOT_SHARE ** 2."""
-    shared = rows.sparkSession.sparkContext.broadcast(hot)
-
-    def fn(batches):
-        for block in blocks(batches, True):
-            lengths = np.array([len(x) for x in block.ids])
-            grams, every = Grams(block.hashes(), np.concatenate(block.ids), lengths, shared.value), np.ones(block.tokens, bool)
-            for n in (1, 2):
-                is_hot = grams.hot[n]
-                yield grams.hashes[n - 1][grams.context[n][is_hot]].view(np.int64), grams.hashes[n][is_hot].view(np.int64), grams.counts(n, every)[is_hot].astype(np.int64)
-
-    counted = _columns(rows, fn, "context long, gram long, c long").groupBy("context", "gram").agg(F.sum("c").alias("c"))
-    found = counted.groupBy("context").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("c") >= MIN_COUNT, F.col("c") - DISCOUNT).otherwise(0.0)).alias("s")).toArrow()
-    context, c, s = (found.column(k).to_numpy() for k in range(3))
-    order = np.argsort(context.view(np.uint64))
-    return context.view(np.uint64)[order], c[order].astype(float), s[order].astype(float)
-
-
-class Trie:
-    """A shard's part of one order above the first: contexts with what they leave to the order below, and kept n-grams with their discounted shares."""
-
-    def __init__(self, contexts: np.ndarray, total: np.ndarray, seen: np.ndarray, grams: np.ndarray, counts: np.ndarray, context_of: np.ndarray):
-        """From ascending hashes: contexts with training counts and discounted counts of their kept successors; n-grams with counts and places of their contexts."""
-        left, kept = np.flatnonzero(seen > 0), np.flatnonzero(counts >= MIN_COUNT)
-        self.contexts = EliasFano(*EliasFano.build(contexts[left], _TOP))
-        self.back = np.clip(1 - seen[left] / total[left], 1e-9, 1).astype(np.float32)
-        self.grams = EliasFano(*EliasFano.build(grams[kept], _TOP))
-        self.share = ((counts[kept] - DISCOUNT) / total[context_of[kept]]).astype(np.float32)
-
-    @staticmethod
-    def _look_up(level: EliasFano, values: np.ndarray, asked: np.ndarray, other: float) -> np.ndarray:
-        out, at = np.full(len(asked), other, np.float32), level.find(asked)
-        out[at >= 0] = values[at[at >= 0]]
-        return out
-
-    def backs(self, contexts: np.ndarray) -> np.ndarray:
-        return self._look_up(self.contexts, self.back, contexts, 1)
-
-    def shares(self, grams: np.ndarray) -> np.ndarray:
-        return self._look_up(self.grams, self.share, grams, 0)
-
-
-def _answers(payloads: list[bytes], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
-    """What a shard answers to each block, in the order of its request: counts of words; for bigrams and trigrams the backs of contexts and the shares of n-grams."""
-    asked, out = [_open(p) for p in payloads], [[] for _ in payloads]
-    for n in range(3):
-        known, sizes, keys, times = ([p[n][k] for p in asked] for k in range(4))
-        grams, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        c = np.bincount(back, np.concatenate(times).astype(float), len(grams))
-        if n:
-            contexts, of = np.unique(np.concatenate(known), return_inverse=True)
-            context_of = np.repeat(of, np.concatenate(sizes))[first]
-            total, kept = np.bincount(context_of, c, len(contexts)), c >= MIN_COUNT
-            seen = np.bincount(context_of[kept], c[kept] - DISCOUNT, len(contexts))
-            if len(contexts) and len(hot[0]):
-                is_hot = np.flatnonzero(_contains(hot[0], contexts))
-                at = np.searchsorted(hot[0], contexts[is_hot])
-                total[is_hot], seen[is_hot] = hot[1][at], hot[2][at]
-            trie = Trie(contexts, total, seen, grams, c, context_of)
-            backs, values = trie.backs(contexts)[of], trie.shares(grams)[back]
-        else:
-            values = c.astype(np.int64)[back]
-        runs, at = np.cumsum([0, *map(len, known)]), np.cumsum([0, *map(len, keys)])
-        for k, own in enumerate(out):
-            own += ([backs[runs[k] : runs[k + 1]]] if n else []) + [values[at[k] : at[k + 1]]]
-    return [zlib.compress(b"".join(x.tobytes() for x in own), 1) for own in out]
-
-
-def _combine(own: bytes, answers: dict[int, bytes], hot: np.ndarray, n_tokens: int, n_words: int, n_shards: int) -> pd.DataFrame:
+def of_codes(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, np.exp(-_STEP * (codes.astype(float) - 1)), 0.0)
+
+
+class Level:
+    """The successors of contexts: their names in ascending order, context after context, as one Elias-Fano sequence; monotone pointers to where each context's begin; codes."""
+
+    def __init__(self, keys: np.ndarray, n_contexts: int, codes: np.ndarray):
+        """`keys`: ascending and distinct, the context's number in the upper 32 bits, the name in the lower."""
+        self.names = EliasFano(*EliasFano.build(keys, max(n_contexts, 1) << 32))
+        begins = np.searchsorted(keys, np.arange(n_contexts + 1, dtype=np.uint64) << np.uint64(32))
+        self.pointers = EliasFano(*EliasFano.build(begins, len(keys) + 1))
+        self.codes = codes
+
+    def find(self, context: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """The places of names among the successors of their contexts, -1 for those that are none."""
+        key = (context.astype(np.uint64) << np.uint64(32)) | name
+        at = self.names.successor(key)
+        last = self.pointers.access(context + 1).astype(np.int64)
+        found = at < last
+        found[found] = self.names.access(at[found]) == key[found]
+        return np.where(found, at, -1)
+
+
+def _answers(payloads: list[bytes], hot: np.ndarray, hot_counts: np.ndarray) -> list[bytes]:
+    """What a shard answers to each block, in the order of its request: counts of first words, codes of bigrams and their contexts' weights, codes of trigrams, counts of loose ones."""
+    asked = [_open(p) for p in payloads]
+    join = lambda k, j: np.concatenate([a[k][j] for a in asked])
+    words, root = np.unique(join(0, 0), return_inverse=True)
+    c1 = np.bincount(root, join(1, 0), len(words))
+    is_hot = _contains(hot, words)
+    c1[is_hot] = hot_counts[np.searchsorted(hot, words[is_hot])]
+    above, name = np.repeat(root, join(1, 1)), join(0, 1).astype(np.uint64)
+    keys2, pair = np.unique((above.astype(np.uint64) << np.uint64(32)) | name, return_inverse=True)
+    c2 = np.bincount(pair, join(1, 2), len(keys2))
+    above3, name3 = np.repeat(pair, join(1, 3)), join(0, 2).astype(np.uint64)
+    keys3, leaf = np.unique((above3.astype(np.uint64) << np.uint64(32)) | name3, return_inverse=True)
+    c3 = np.bincount(leaf, join(1, 4), len(keys3))
+    parent2, parent3 = (keys2 >> np.uint64(32)).astype(np.int64), (keys3 >> np.uint64(32)).astype(np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    second = Level(keys2, len(words), to_codes(c2 / (c1[parent2] + WEIGHTS[1])))
+    third = Level(keys3, len(keys2), to_codes(c3 / (c2[parent3] + WEIGHTS[2])))
+    backs = to_codes(WEIGHTS[2] / (c2 + WEIGHTS[2]))
+    at2 = second.find(parent2, keys2 & low)[pair]
+    at3 = third.find(parent3, keys3 & low)[leaf]
+    whole, loose = np.unique(join(0, 3), return_inverse=True)
+    found = [c1.astype(np.uint32)[root], second.codes[at2], backs[at2], third.codes[at3], np.bincount(loose, join(1, 5), len(whole)).astype(np.uint32)[loose]]
+    cuts = [np.cumsum([0, *(len(a[0][k]) for a in asked)]) for k in (0, 1, 1, 2, 3)]
+    return [zlib.compress(b"".join(x[c[k] : c[k + 1]].tobytes() for x, c in zip(found, cuts)), 1) for k in range(len(asked))]
+
+
+def _combine(own: bytes, answers: dict[int, bytes], hot: np.ndarray, hot_counts: np.ndarray, n_tokens: int, n_words: int, n_shards: int) -> pd.DataFrame:
     """The rows of a block's documents."""
     docs, lengths, ids, words = pickle.loads(zlib.decompress(own))
-    grams = Grams(words, ids, lengths, hot)
-    layouts = [grams.layout(n, n_shards) for n in range(3)]
-    count, share, back = np.zeros(len(words), np.int64), [None, *(np.zeros(len(grams.hashes[n])) for n in (1, 2))], [None, *(np.ones(len(grams.hashes[n - 1])) for n in (1, 2))]
+    grams = Grams(words, ids, lengths, hot, n_shards)
+    count = np.zeros(len(words), np.int64)
+    share2, back3, share3 = np.zeros(len(grams.first)), np.ones(len(grams.first)), np.zeros(len(grams.pair))
     for shard, answer in answers.items():
-        payload, at = zlib.decompress(answer), 0
-
-        def take(kind, size):
-            nonlocal at
-            at += size * np.dtype(kind).itemsize
-            return np.frombuffer(payload, kind, size, at - size * np.dtype(kind).itemsize)
-
-        for n, (order, cuts, context, _, runs) in enumerate(layouts):
-            mine, theirs = order[cuts[shard] : cuts[shard + 1]], context[runs[shard] : runs[shard + 1]]
-            if n:
-                back[n][theirs] = take(np.float32, len(theirs))
-                share[n][mine] = take(np.float32, len(mine))
-            else:
-                count[mine] = take(np.int64, len(mine))
+        r, e, f, o = (slice(c[shard], c[shard + 1]) for c in (grams.root_cuts, grams.entry_cuts, grams.leaf_cuts, grams.loose_cuts))
+        (c1, codes2, backs, codes3, c3), _ = _arrays(zlib.decompress(answer), (np.uint32, np.uint16, np.uint16, np.uint16, np.uint32), [p.stop - p.start for p in (r, e, e, f, o)])
+        count[grams.roots[r]] = c1
+        share2[grams.entries[e]], back3[grams.entries[e]] = of_codes(codes2), of_codes(backs)
+        share3[grams.leaves[f]] = of_codes(codes3)
+        share3[grams.loose[o]] = c3  # their bigrams may be answered later
+    share3[grams.loose] *= back3[grams.pair[grams.loose]] / WEIGHTS[2]
+    common = np.flatnonzero(_contains(hot, words))
+    count[common] = hot_counts[np.searchsorted(hot, words[common])]
+    back2 = WEIGHTS[1] / (count + WEIGHTS[1])
     p1 = ((count + 1) / (n_tokens + n_words + 1))[grams.at[0]]
     p = p1.copy()
-    for n in (1, 2):
-        ok = np.flatnonzero(grams.at[n] >= 0)
-        p[ok] = share[n][grams.at[n][ok]] + back[n][grams.at[n - 1][ok - 1]] * p[ok]
+    ok = np.flatnonzero(grams.at[1] >= 0)
+    p[ok] = share2[grams.at[1][ok]] + back2[grams.at[0][ok - 1]] * p[ok]
+    ok = np.flatnonzero(grams.at[2] >= 0)
+    p[ok] = share3[grams.at[2][ok]] + back3[grams.at[1][ok - 1]] * p[ok]
     of, k = np.repeat(np.arange(len(docs)), lengths), len(docs)
     return pd.DataFrame({
         "doc_id": pd.array(docs, "Int64"), "held_out": [held_out(d) for d in docs], "n_tokens": lengths.astype(np.int64), "n_known": np.bincount(of, count[grams.at[0]] > 0, k).astype(np.int64),
@@ -295,13 +282,16 @@ def _combine(own: bytes, answers: dict[int, bytes], hot: np.ndarray, n_tokens: i
 def score(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document, as in `_RESULT`; the model is learned from the documents that are not held out."""
     rows = documents.select(documents[id_col].cast("long"), documents[text])
-    seen = Observation()
-    most = count_words(rows).observe(seen, F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).orderBy(F.desc("c"), "h").limit(int(1 / HOT_SHARE)).toArrow()
+    seen, end = Observation(), xxhash.xxh3_64_intdigest(END)
+    signed = int(np.array([end], np.uint64).view(np.int64)[0])
+    counted = count_words(rows).observe(seen, F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("words"), F.coalesce(F.sum(F.when(F.col("h") == signed, F.col("c"))), F.lit(0)).alias("ends"))
+    most = counted.orderBy(F.desc("c"), "h").limit(int(1 / HOT_SHARE)).toArrow()
     n_tokens, n_words = seen.get["tokens"], seen.get["words"]
-    h, c = (most.column(k).to_numpy() for k in range(2))
-    common = np.sort(h[c >= HOT_SHARE * n_tokens].view(np.uint64))
+    known = {int(h): int(c) for h, c in zip(most.column(0).to_numpy().view(np.uint64), most.column(1).to_numpy()) if c >= HOT_SHARE * n_tokens}
+    known[end] = seen.get["ends"]  # begins nothing, so that no shard is asked for it
+    hot = np.array(sorted(known), np.uint64)
     n_shards = max(LEAST_SHARDS, n_tokens // SHARD_TOKENS)
-    shared = rows.sparkSession.sparkContext.broadcast((common, hot_contexts(rows, common)))
+    shared = rows.sparkSession.sparkContext.broadcast((hot, np.array([known[h] for h in hot.tolist()], np.int64)))
 
     def ask(batches):
         uid = TaskContext.get().partitionId() << 33
@@ -309,7 +299,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         for block in blocks(batches, False):
             words, ids, lengths = block.hashes(), np.concatenate(block.ids), np.array([len(x) for x in block.ids])
             train = np.repeat([not held_out(d) for d in block.docs], lengths)
-            parts = list(_requests(Grams(words, ids, lengths, shared.value[0]), train, n_shards))
+            parts = list(Grams(words, ids, lengths, shared.value[0], n_shards).requests(train))
             own = zlib.compress(pickle.dumps((block.docs, lengths, ids, words), 5), 1)
             m = len(parts) + 1
             yield pa.array([uid] * m, pa.int64()), pa.array([at % n_shards, *(s for s, _ in parts)], pa.int32()), pa.array([True] + [False] * (m - 1)), pa.array([own, *(p for _, p in parts)], pa.binary())
@@ -318,13 +308,13 @@ def score(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = ~pdf["own"]
         if asks.any():
-            pdf.loc[asks, "payload"] = pd.Series(_answers(pdf.loc[asks, "payload"].tolist(), shared.value[1]), pdf.index[asks], object)
+            pdf.loc[asks, "payload"] = pd.Series(_answers(pdf.loc[asks, "payload"].tolist(), *shared.value), pdf.index[asks], object)
         return pdf
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["payload"][pdf["own"]].iloc[0]
         rest = pdf[~pdf["own"]]
-        return _combine(own, dict(zip(rest["shard"], rest["payload"])), shared.value[0], n_tokens, n_words, n_shards)
+        return _combine(own, dict(zip(rest["shard"], rest["payload"])), *shared.value, n_tokens, n_words, n_shards)
 
     schema = "block long, shard int, own boolean, payload binary"
     answers = _columns(rows, ask, schema).groupBy("shard").applyInPandas(answer, schema)

@@ -28,34 +28,19 @@ def tokens(text):
 
 
 def plain_scores(docs):
-    """The model without trie, shards or quantisation."""
+    """The model without trie, shards or codes."""
     train = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 7 != 2]
-    c1 = Counter(t for d in train for t in tokens(d[1]))
-    n, v = sum(c1.values()), len(c1)
-    p1 = lambda w: (c1[w] + 1) / (n + v + 1)
-    frequent = {w for w, c in c1.items() if c >= max(1, lm_scoring.WORD_SHARE * n)}
-    grams = {k: Counter(g for d in train for g in zip(*[tokens(d[1])[i:] for i in range(k)]) if set(g) <= frequent) for k in (2, 3)}
-    kept = {k: {g: c for g, c in x.items() if c >= max(2, lm_scoring.GRAM_SHARE * n)} for k, x in grams.items()}
-    back = Counter()
-    for g, c in kept[2].items():
-        back[g[:1]] += (c - lm_scoring.DISCOUNT) / c1[g[0]]
-    for g, c in kept[3].items():
-        back[g[:2]] += (c - lm_scoring.DISCOUNT) / kept[2][g[:2]]
-
-    def p2(a, b):
-        lower = (1 - back[(a,)] if a in frequent else 1) * p1(b)
-        return lower + ((kept[2][a, b] - lm_scoring.DISCOUNT) / c1[a] if (a, b) in kept[2] else 0)
-
-    def score(t):
-        total = 0.0
-        for i, w in enumerate(t):
-            p = p1(w) if i == 0 else p2(t[i - 1], w)
-            if i > 1 and t[i - 2 : i] and (t[i - 2], t[i - 1]) in kept[2]:
-                p = (1 - back[t[i - 2], t[i - 1]]) * p + ((kept[3][tuple(t[i - 2 : i + 1])] - lm_scoring.DISCOUNT) / kept[2][t[i - 2], t[i - 1]] if tuple(t[i - 2 : i + 1]) in kept[3] else 0)
-            total += math.log10(p)
-        return total
-
-    return {d: (len(t := tokens(x)), sum(c1[w] > 0 for w in t), n, sum(math.log10(p1(w)) for w in t), score(t)) for d, x in docs}
+    c = {k: Counter(g for d in train for g in zip(*[tokens(d[1])[i:] for i in range(k)])) for k in (1, 2, 3)}
+    n, v = sum(c[1].values()), len(c[1])
+
+    def p(gram):
+        if len(gram) == 1:
+            return (c[1][gram] + 1) / (n + v + 1)
+        weight = lm_scoring.WEIGHTS[len(gram) - 1]
+        return (c[len(gram)][gram] + weight * p(gram[1:])) / (c[len(gram) - 1][gram[:-1]] + weight)
+
+    score = lambda t: sum(math.log10(p(tuple(t[max(0, i - 2) : i + 1]))) for i in range(len(t)))
+    return {d: (len(t := tokens(x)), sum(c[1][w,] > 0 for w in t), n, sum(math.log10(p((w,))) for w in t), score(t)) for d, x in docs}
 
 
 def test_scores_match_a_plain_model(spark):
@@ -67,31 +52,49 @@ def test_scores_match_a_plain_model(spark):
         n, known, total, base, score = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9)
-        assert r.score == pytest.approx(score, rel=0.02, abs=0.3)  # quantised to 256 values a level
+        assert abs(r.score - score) <= 1.2e-4 * n  # half a step of the codes for each token
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
     held = [r for r in got if r.held_out and r.n_tokens > 20]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_model_grows_with_the_corpus(spark):
-    """A phrase seen twice counts, however many other words the corpus has."""
+    """A phrase seen once counts, however many other words the corpus has; words and pairs of words that make up most of it are dealt apart."""
     train, held = ([i for i in range(60) if lm_scoring.held_out(i) == x] for x in (False, True))
-    docs = [(train[0], "zig zag zog"), (train[1], "zig zag zog"), (held[0], "zig zag zog"), *((i, "one two three four " * 2_500 + prose(i, 2_000)) for i in train[2:])]
+    docs = [(train[0], "zig zag zog"), (held[0], "zig zag zog"), (held[1], "zog zag zig"), *((i, "one two three four " * 2_500 + prose(i, 2_000)) for i in train[2:])]
     got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     want = plain_scores(docs)
     assert got[train[0]].train_tokens > 400_000
     for i, _ in docs:
-        assert got[i].score == pytest.approx(want[i][4], rel=1e-5)
-    r = got[held[0]]
-    share = lambda p: (2 - lm_scoring.DISCOUNT) / 2 + lm_scoring.DISCOUNT / 2 * p  # noqa: E731  after a context seen twice, always before this word
-    n, v = r.train_tokens, len({t for i, x in docs if not lm_scoring.held_out(i) for t in tokens(x)})
-    p1, end = 3 / (n + v + 1), (sum(not lm_scoring.held_out(i) for i, _ in docs) + 1) / (n + v + 1)
-    probs = [p1, share(p1), share(share(p1)), share(share(end))]
-    assert r.score == pytest.approx(sum(map(math.log10, probs)), rel=1e-5)
+        assert abs(got[i].score - want[i][4]) <= 1.2e-4 * got[i].n_tokens  # half a step of the codes for each token
+    assert got[held[0]].score > got[held[1]].score + 1
+
+
+def test_levels():
+    r = random.Random(4)
+    for n_contexts in (1, 7, 300):
+        keys = np.array(sorted({r.randrange(n_contexts) << 32 | r.randrange(2**32) for _ in range(500)}), np.uint64)
+        level = lm_scoring.Level(keys, n_contexts, None)
+        context, name = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+        assert level.find(context, name).tolist() == list(range(len(keys)))
+        assert (level.find(context, (name + np.uint64(1)) & np.uint64(0xFFFFFFFF)) == -1).all()
+
+
+def test_codes():
+    p = np.concatenate([[0, 1], np.logspace(-13, 0, 300)])
+    got = lm_scoring.of_codes(lm_scoring.to_codes(p))
+    assert got[0] == 0 and got[1] == 1 and np.allclose(got, p, rtol=3e-4)
 
 
 def test_scores_of_odd_rows(spark, odd):
-    assert lm_scoring.score(odd).count() == odd.count()
+    got, rows = lm_scoring.score(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()]
+    assert len(got) == len(rows)
+    texts = [("" if i is None else i, t) for i, t in rows]  # a null id counts as the empty text
+    train = [tokens(t) for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    want = {(i, len(x), sum(c[w] > 0 for w in x), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), 5)) for i, t in rows for x in [tokens(t)]}
+    assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got} == want
     assert lm_scoring.score(odd.limit(0)).count() == 0
     only = spark.createDataFrame([(i, "a b") for i in range(100) if lm_scoring.held_out(i)], "doc_id long, text string")
     r = lm_scoring.score(only).first()  # nothing to learn from
