@@ -5,17 +5,18 @@ count C, the probability p one order below and the order's weight m. Every word,
 the corpus, so the model grows with the corpus.
 
 No machine holds the model. A block of documents sends its distinct words, bigrams and trigrams with their training counts to shards, as packed paths: a shard has all that
-begins with a word, so a bigram is a 32-bit name below its first word, and a trigram one below its bigram. A shard sums the counts and builds its part of the model as a trie: ascending
-names below their contexts, Elias-Fano coded, with monotone pointers from contexts to their successors, and 16-bit codes of the smoothed parts c / (C + m) and m / (C + m).
-It looks all paths up, each name by a search among its context's successors, and answers each block with the codes. A block adds up its answers. A block and a shard
-exchange a row if they share an n-gram, so there are never more rows than n-grams in blocks.
+begins with a word, so a bigram is a 32-bit name below its first word, and a trigram a 24-bit one below its bigram. A shard sums the counts and builds its part of the model as a trie: ascending
+names below their contexts, Elias-Fano coded, with monotone pointers from contexts to their successors, and 16-bit codes of the smoothed parts c / (C + m).
+It looks all paths up, each name by a search among its context's successors, and answers each block with the codes. A block, read a second time, adds up its answers. A block and a shard
+exchange a row if they share an n-gram, so there are never more rows than n-grams in blocks. Blocks are named by their contents; documents whose rows come in another
+order when they are read again would miss their answers, which raises an error: write such documents first.
 
 What begins with a very common word could make one shard hot. Words with at least `HOT_SHARE` of all training tokens are at most 1 / HOT_SHARE; bigrams that begin with one go to
 shards by their own hash, with the trigrams below them, and trigrams that begin with two of them by their own hash as well. The counts of these words are known to every task.
 
 Null and empty texts are their end token alone. A null id counts as the empty text. Repeated rows are learned and scored each. With no training tokens
-every count is 0. An empty table gives an empty result. Very long texts are one document of one block. Extra columns are ignored, whatever their names. Words are told apart by 64-bit hashes, the
-successors of a context by 32 bits. Codes are within 0.03 % of the probabilities; base scores are exact.
+every count is 0. An empty table gives an empty result. Very long texts are one document of one block. Extra columns are ignored, whatever their names. Words are told apart by 64-bit hashes for
+their counts' totals and by 48 bits within a shard, successors of a word by 32 bits, those of a bigram by 24: one of 10,000 successors is taken for another with a probability of 6e-4. Codes are within 0.03 % of the probabilities; base scores are exact.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -137,6 +137,7 @@ class Grams:
         self.pair, last = keys[1] // base, keys[1] % base
         pairs = gram_hash(words[self.first], words[second])
         whole = gram_hash(pairs[self.pair], words[last])
+        self.heads = np.ascontiguousarray((words >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
         short = (words >> np.uint64(32)).astype(np.uint32)
         both = is_hot[self.first] & is_hot[second]
         own = (np.where(is_hot[self.first], pairs, words[self.first]) % shards).astype(np.int64)
@@ -150,7 +151,8 @@ class Grams:
         there = (whole[loose] % shards).astype(np.int64)
         order = np.argsort(there, kind="stable")
         self.loose, self.loose_cuts = loose[order], np.searchsorted(there[order], np.arange(n_shards + 1))
-        self.loose_keys, self.entry_names, self.leaf_names = whole[self.loose], short[second[self.entries]], short[last[self.leaves]]
+        self.loose_keys, self.entry_names = whole[self.loose], short[second[self.entries]]
+        self.leaf_names = np.ascontiguousarray(short[last[self.leaves]].view(np.uint8).reshape(-1, 4)[:, 1:])
         #: Runs of bigrams with the same first word within a shard.
         word, shard = self.first[self.entries], own[self.entries]
         begin = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (shard[1:] != shard[:-1]))) if len(word) else np.zeros(0, np.int64)
@@ -159,9 +161,9 @@ class Grams:
         self.entry_sizes = np.bincount(self.pair[below], minlength=len(keys[0]))[self.entries]
 
     def requests(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """For each shard: first words, names of their successors and of theirs, whole hashes of loose trigrams; run sizes and training counts."""
+        """For each shard: 48 bits of first words, names of their successors and of theirs, whole hashes of loose trigrams; run sizes and training counts."""
         counts = [np.bincount(at[(at >= 0) & train], minlength=n) for at, n in zip(self.at, (len(self.words), len(self.first), len(self.pair)))]
-        plain = [self.words[self.roots], self.entry_names, self.leaf_names, self.loose_keys]
+        plain = [self.heads[self.roots], self.entry_names, self.leaf_names, self.loose_keys]
         small = [counts[0][self.roots], self.root_sizes, counts[1][self.entries], self.entry_sizes, counts[2][self.leaves], counts[2][self.loose]]
         small = [x.astype(np.uint32) for x in small]
         cuts = [self.root_cuts, self.entry_cuts, self.leaf_cuts, self.loose_cuts]
@@ -182,10 +184,18 @@ def _arrays(payload: bytes, kinds: tuple, sizes: tuple, at: int = 0) -> tuple[li
     return out, at
 
 
+def _wide(packed: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of `size` little-endian bytes each."""
+    out = np.zeros((len(packed) // size, 8), np.uint8)
+    out[:, :size] = packed.reshape(-1, size)
+    return out.view(np.uint64).ravel()
+
+
 def _open(payload: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(first words, names, names below them, loose hashes), (counts and run sizes of first words, of names, counts of names below and loose ones)."""
     r, e, f, o = np.frombuffer(payload, np.int64, 4).tolist()
-    plain, at = _arrays(payload, (np.uint64, np.uint32, np.uint32, np.uint64), (r, e, f, o), 32)
+    (heads, names, leaves, loose), at = _arrays(payload, (np.uint8, np.uint32, np.uint8, np.uint64), (6 * r, e, 3 * f, o), 32)
+    plain = [_wide(heads, 6), names, _wide(leaves, 3), loose]
     small, _ = _arrays(zlib.decompress(payload[at:]), (np.uint32,) * 6, (r, r, e, e, f, o))
     return plain, small
 
@@ -223,11 +233,12 @@ class Level:
 
 
 def _answers(payloads: list[bytes], hot: np.ndarray, hot_counts: np.ndarray) -> list[bytes]:
-    """What a shard answers to each block, in the order of its request: counts of first words, codes of bigrams and their contexts' weights, codes of trigrams, counts of loose ones."""
+    """What a shard answers to each block, in the order of its request: counts of first words, codes of bigrams and trigrams, counts of loose ones."""
     asked = [_open(p) for p in payloads]
     join = lambda k, j: np.concatenate([a[k][j] for a in asked])
     words, root = np.unique(join(0, 0), return_inverse=True)
     c1 = np.bincount(root, join(1, 0), len(words))
+    hot = hot >> np.uint64(16)
     is_hot = _contains(hot, words)
     c1[is_hot] = hot_counts[np.searchsorted(hot, words[is_hot])]
     above, name = np.repeat(root, join(1, 1)), join(0, 1).astype(np.uint64)
@@ -240,32 +251,47 @@ def _answers(payloads: list[bytes], hot: np.ndarray, hot_counts: np.ndarray) ->
     low = np.uint64(0xFFFFFFFF)
     second = Level(keys2, len(words), to_codes(c2 / (c1[parent2] + WEIGHTS[1])))
     third = Level(keys3, len(keys2), to_codes(c3 / (c2[parent3] + WEIGHTS[2])))
-    backs = to_codes(WEIGHTS[2] / (c2 + WEIGHTS[2]))
     at2 = second.find(parent2, keys2 & low)[pair]
     at3 = third.find(parent3, keys3 & low)[leaf]
     whole, loose = np.unique(join(0, 3), return_inverse=True)
-    found = [c1.astype(np.uint32)[root], second.codes[at2], backs[at2], third.codes[at3], np.bincount(loose, join(1, 5), len(whole)).astype(np.uint32)[loose]]
-    cuts = [np.cumsum([0, *(len(a[0][k]) for a in asked)]) for k in (0, 1, 1, 2, 3)]
+    found = [c1.astype(np.uint32)[root], second.codes[at2], third.codes[at3], np.bincount(loose, join(1, 5), len(whole)).astype(np.uint32)[loose]]
+    cuts = [np.cumsum([0, *(len(a[0][k]) for a in asked)]) for k in range(4)]
     return [zlib.compress(b"".join(x[c[k] : c[k + 1]].tobytes() for x, c in zip(found, cuts)), 1) for k in range(len(asked))]
 
 
+def _pack(docs: list, lengths: np.ndarray, words: np.ndarray, ids: np.ndarray) -> bytes:
+    """A block. Frequent words have small numbers, so that most bytes of the numbers are 0."""
+    planes = ids.view(np.uint8).reshape(-1, 4).T.copy()
+    return zlib.compress(pickle.dumps((docs, lengths.tolist(), words.tobytes(), planes.tobytes()), 5), 1)
+
+
+def _unpack(own: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    docs, lengths, words, planes = pickle.loads(zlib.decompress(own))
+    ids = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return docs, np.array(lengths), np.frombuffer(words, np.uint64), ids
+
+
 def _combine(own: bytes, answers: dict[int, bytes], hot: np.ndarray, hot_counts: np.ndarray, n_tokens: int, n_words: int, n_shards: int) -> pd.DataFrame:
     """The rows of a block's documents."""
-    docs, lengths, ids, words = pickle.loads(zlib.decompress(own))
+    docs, lengths, words, ids = _unpack(own)
     grams = Grams(words, ids, lengths, hot, n_shards)
     count = np.zeros(len(words), np.int64)
-    share2, back3, share3 = np.zeros(len(grams.first)), np.ones(len(grams.first)), np.zeros(len(grams.pair))
+    share2, share3 = np.zeros(len(grams.first)), np.zeros(len(grams.pair))
+    asked = [np.diff(c) > 0 for c in (grams.root_cuts, grams.entry_cuts, grams.leaf_cuts, grams.loose_cuts)]
+    if set(np.flatnonzero(asked[0] | asked[3]).tolist()) != set(answers):
+        raise RuntimeError("the documents came in another order when they were read again: write them to a table first")
     for shard, answer in answers.items():
         r, e, f, o = (slice(c[shard], c[shard + 1]) for c in (grams.root_cuts, grams.entry_cuts, grams.leaf_cuts, grams.loose_cuts))
-        (c1, codes2, backs, codes3, c3), _ = _arrays(zlib.decompress(answer), (np.uint32, np.uint16, np.uint16, np.uint16, np.uint32), [p.stop - p.start for p in (r, e, e, f, o)])
+        (c1, codes2, codes3, c3), _ = _arrays(zlib.decompress(answer), (np.uint32, np.uint16, np.uint16, np.uint32), [p.stop - p.start for p in (r, e, f, o)])
         count[grams.roots[r]] = c1
-        share2[grams.entries[e]], back3[grams.entries[e]] = of_codes(codes2), of_codes(backs)
-        share3[grams.leaves[f]] = of_codes(codes3)
-        share3[grams.loose[o]] = c3  # their bigrams may be answered later
-    share3[grams.loose] *= back3[grams.pair[grams.loose]] / WEIGHTS[2]
+        share2[grams.entries[e]], share3[grams.leaves[f]], share3[grams.loose[o]] = of_codes(codes2), of_codes(codes3), c3
     common = np.flatnonzero(_contains(hot, words))
     count[common] = hot_counts[np.searchsorted(hot, words[common])]
     back2 = WEIGHTS[1] / (count + WEIGHTS[1])
+    pairs = share2 * (count[grams.first] + WEIGHTS[1])  # counts of bigrams; those under 1,000 come out whole
+    pairs = np.where(pairs < 1000, np.rint(pairs), pairs)
+    back3 = WEIGHTS[2] / (pairs + WEIGHTS[2])
+    share3[grams.loose] /= pairs[grams.pair[grams.loose]] + WEIGHTS[2]
     p1 = ((count + 1) / (n_tokens + n_words + 1))[grams.at[0]]
     p = p1.copy()
     ok = np.flatnonzero(grams.at[1] >= 0)
@@ -293,29 +319,34 @@ def score(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     n_shards = max(LEAST_SHARDS, n_tokens // SHARD_TOKENS)
     shared = rows.sparkSession.sparkContext.broadcast((hot, np.array([known[h] for h in hot.tolist()], np.int64)))
 
-    def ask(batches):
-        uid = TaskContext.get().partitionId() << 33
-        at = TaskContext.get().partitionId() * 8191  # the shard that passes a block's documents on
+    def named(batches):
         for block in blocks(batches, False):
-            words, ids, lengths = block.hashes(), np.concatenate(block.ids), np.array([len(x) for x in block.ids])
-            train = np.repeat([not held_out(d) for d in block.docs], lengths)
+            ids, words, lengths = np.concatenate(block.ids), block.hashes(), np.array([len(x) for x in block.ids])
+            order = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            ids, words = rank[ids], words[order]
+            yield xxhash.xxh3_64_intdigest(ids.tobytes() + words.tobytes() + repr(block.docs).encode()) >> 1, block.docs, lengths, words, ids
+
+    def ask(batches):
+        for uid, docs, lengths, words, ids in named(batches):
+            train = np.repeat([not held_out(d) for d in docs], lengths)
             parts = list(Grams(words, ids, lengths, shared.value[0], n_shards).requests(train))
-            own = zlib.compress(pickle.dumps((block.docs, lengths, ids, words), 5), 1)
-            m = len(parts) + 1
-            yield pa.array([uid] * m, pa.int64()), pa.array([at % n_shards, *(s for s, _ in parts)], pa.int32()), pa.array([True] + [False] * (m - 1)), pa.array([own, *(p for _, p in parts)], pa.binary())
-            uid, at = uid + 1, at + 1
+            yield pa.array([uid] * len(parts), pa.int64()), pa.array([s for s, _ in parts], pa.int32()), pa.array([False] * len(parts), pa.bool_()), pa.array([p for _, p in parts], pa.binary())
+
+    def pass_on(batches):
+        for uid, *own in named(batches):
+            yield pa.array([uid], pa.int64()), pa.array([None], pa.int32()), pa.array([True]), pa.array([_pack(*own)], pa.binary())
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = ~pdf["own"]
-        if asks.any():
-            pdf.loc[asks, "payload"] = pd.Series(_answers(pdf.loc[asks, "payload"].tolist(), *shared.value), pdf.index[asks], object)
+        pdf["payload"] = pd.Series(_answers(pdf["payload"].tolist(), *shared.value), pdf.index, object)
         return pdf
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["payload"][pdf["own"]].iloc[0]
         rest = pdf[~pdf["own"]]
-        return _combine(own, dict(zip(rest["shard"], rest["payload"])), *shared.value, n_tokens, n_words, n_shards)
+        answers = {int(s): p for s, p in zip(rest["shard"], rest["payload"])}  # blocks of equal contents, as of a table united with itself, have equal ones
+        return pd.concat([_combine(own, answers, *shared.value, n_tokens, n_words, n_shards) for own in pdf["payload"][pdf["own"]]])
 
     schema = "block long, shard int, own boolean, payload binary"
     answers = _columns(rows, ask, schema).groupBy("shard").applyInPandas(answer, schema)
-    return answers.groupBy("block").applyInPandas(combine, _RESULT)
+    return answers.union(_columns(rows, pass_on, schema)).groupBy("block").applyInPandas(combine, _RESULT)
