@@ -24,7 +24,7 @@ class EliasFano:
 
     def __init__(self, head: np.ndarray, lows: np.ndarray, high: np.ndarray):
         self.n, self.low, self.top = (int(x) for x in head)
-        self.lows, self.high = lows, high
+        self.lows, self.high = lows.view(np.uint64), high
         ones = np.bitwise_count(high).astype(np.int64)
         self.ones = np.concatenate([[0], np.cumsum(ones)])
         self.zeros = np.concatenate([[0], np.cumsum(64 - ones)])
@@ -44,7 +44,7 @@ class EliasFano:
         size = ((top >> low) + n + 2 + 63) // 64
         words = np.zeros(size, np.uint64)
         np.bitwise_or.at(words, high >> 6, _ONE << (high & 63).astype(np.uint64))
-        return [np.array([n, low, top], np.uint64), np.concatenate([lows, np.zeros(16, np.uint8)]), words]
+        return [np.array([n, low, top], np.uint64), np.concatenate([lows, np.zeros(16 + -len(lows) % 8, np.uint8)]), words]
 
     def _select(self, sums: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
         word = np.searchsorted(sums, k, "right") - 1
@@ -55,10 +55,8 @@ class EliasFano:
         if not self.low:
             return np.zeros(len(i), np.uint64)
         bit = i * self.low
-        raw = self.lows[(bit >> 3)[:, None] + np.arange(9)].astype(np.uint64)
-        shift = (bit & 7).astype(np.uint64)
-        word = (raw[:, :8] << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64) >> shift
-        word |= np.where(shift > 0, raw[:, 8] << (np.uint64(64) - np.maximum(shift, _ONE)), np.uint64(0))
+        at, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        word = (self.lows[at] >> shift) | (self.lows[at + 1] << (np.uint64(63) - shift) << _ONE)
         return word & np.uint64((1 << self.low) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:

@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -50,18 +52,17 @@ class Block:
     """Documents as numbers of their distinct words, each document closed by the end token."""
 
     def __init__(self):
-        self.words: dict[bytes, int] = {END: 0}
+        self.words: dict[bytes, int] = defaultdict(count().__next__)
         self.ids: list[np.ndarray] = []
         self.docs: list[int | None] = []
         self.tokens = 0
 
     def add(self, doc: int | None, text: bytes | None) -> None:
-        known = self.words
-        ids = [known.setdefault(w, len(known)) for w in (text or b"").lower().split()]
-        ids.append(0)
-        self.ids.append(np.asarray(ids, np.int32))
+        words = (text or b"").lower().split()
+        words.append(END)
+        self.ids.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
         self.docs.append(doc)
-        self.tokens += len(ids)
+        self.tokens += len(words)
 
     def hashes(self) -> np.ndarray:
         return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
