@@ -1,12 +1,14 @@
 """Main text of web pages, by tree scoring.
 
 The page is read into a tree that tolerates unclosed and misnested tags. Subtrees that are not content by tag, role or class name (menus, headers
-and footers of the page, sidebars, notices, adverts, forms, scripts, comments of readers) are left out. Every paragraph passes points to its
+and footers of the page, sidebars, notices, adverts, forms, scripts, comments of readers) are left out; but a form, a header or a subtree with such a class name stays if it holds
+the page: if it has the most text without links of them, and at most a tenth of that lies outside of them all. Every paragraph passes points to its
 ancestors: one, one for each comma, and up to three for length; whole to the parent, half to the grandparent, less further up. A container's
 points are discounted by the share of its text that is link text. The best container is kept, and with it all that lies beside it on each level up to the
 article, the main part or the body, whatever its tag, length or points, without blocks and runs of text that are mostly links. Their blocks are the text.
 
-Null html is empty, as is a page without text. Pages are read whole, in linear time but for nesting. Repeated rows are extracted each. Extra columns are ignored.
+Null html is empty, as is a page without text. Pages are read whole, very long and broken ones too, in linear time but for lists that are nested deeply. Repeated rows are extracted
+each. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,17 +23,20 @@ from pyspark.sql import DataFrame
 from lodeglass.llm.arrow import frugal
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-LINK_SHARE = 0.5
+LINK_SHARE, OUTSIDE, LEAST = 0.5, 0.1, 140
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|math|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>|</[^>]*+>",
     re.S | re.I,
 )
+_CLOSED = re.compile(r"(?:-->|</[a-z]+\s*>)\Z", re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_DROP_TAG = frozenset("nav footer aside form button dialog menu head input label fieldset audio video canvas map".split())
+_DROP_TAG = frozenset("nav footer aside button dialog menu head input audio video canvas map".split())
+_DOUBT_TAG = frozenset("form fieldset label".split())
+_READERS = re.compile(r"comment|discussion|disqus|respond|replies", re.I)
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 _DROP_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|menus?|nav\w*|breadcrumbs?|sidebars?|side|aside|widgets?|related|recommended|share|sharing|social|comments?|commentlist|discussion|disqus|respond|replies|footer|foot|masthead|subscribe|newsletter|login|signup|search|pagination|pager|toolbar|skip)(?:$|[\s_-])",
@@ -44,27 +49,31 @@ _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "inner", "links", "points")
+    __slots__ = ("tag", "parent", "items", "dropped", "doubt", "inner", "links", "points")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, doubt: int = 0):
+        self.tag, self.parent, self.dropped, self.doubt = tag, parent, dropped, doubt
         self.items: list[Node | str] = []
         self.inner = self.links = 0
         self.points = 0.0
 
 
-def _is_dropped(tag: str, raw: str, inside_article: bool) -> bool:
-    if tag in _DROP_TAG or (tag == "header" and not inside_article):
-        return True
+def _judged(tag: str, raw: str, inside_article: bool) -> tuple[bool, int]:
+    """(whether a subtree is no content for sure, whether it is none unless it holds the page: 1, or 2 for comments of readers)."""
+    if tag in _DROP_TAG:
+        return True, 0
+    doubt = int(tag in _DOUBT_TAG or (tag == "header" and not inside_article))
     if not raw or tag in ("html", "body", "article", "main"):
-        return False
+        return False, doubt
     for name, a, b, c in _ATTR.findall(raw):
         name, value = name.lower(), (a or b or c).strip().lower()
         if name == "role" and value in _DROP_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and _DROP_NAME.search(value) or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return True, 0
+        if name == "style" and re.search(r"display\s*:\s*none", value):
+            return True, 0
+        if name in ("class", "id") and _DROP_NAME.search(value):
+            doubt = max(doubt, 2 if _READERS.search(value) else 1)
+    return False, doubt
 
 
 def parse(page: str) -> Node:
@@ -82,10 +91,13 @@ def parse(page: str) -> Node:
                 return now.parent
             now = now.parent
 
-    for m in _TAG.finditer(page):
+    last = page.rfind(">") + 1  # after it no tag ends
+    for m in _TAG.finditer(page, 0, last):
         if m.start() > at:
             node.items.append(entities.unescape(page[at : m.start()]))
         at = m.end()
+        if at == last and (m[1] or m[0].startswith("<!--")) and not _CLOSED.search(page, max(m.start(), last - 40), last):
+            at = len(page)  # a comment or a script that never ends
         tag = m[3] or m[6]
         if not tag:
             continue
@@ -115,7 +127,8 @@ def parse(page: str) -> Node:
                     last = target if target.tag in ends else last
                     target = target.parent
                 node = close(last) if last else node
-        child = Node(tag, node, node.dropped or _is_dropped(tag, raw, bool(open_tags.get("article") or open_tags.get("main"))))
+        gone, doubt = _judged(tag, raw, bool(open_tags.get("article") or open_tags.get("main")))
+        child = Node(tag, node, node.dropped or gone, doubt)
         node.items.append(child)
         if not raw.endswith("/") or tag not in ("path", "g"):
             node = child
@@ -135,12 +148,36 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
-def _score(nodes: list[Node]) -> None:
+def _measure(nodes: list[Node]) -> None:
+    """Text and link text of each subtree; `nodes`: parents before children."""
     for node in reversed(nodes):
         own = sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
         kids = [x for x in node.items if isinstance(x, Node) and not x.dropped]
         node.inner = own + sum(x.inner for x in kids)
         node.links = node.inner if node.tag == "a" else sum(x.links for x in kids)
+
+
+def _settle(top: Node) -> None:
+    """Drops the subtrees in doubt, but the one that holds the page, if any; then what is in doubt within it."""
+    doubted, stack = [], [top]
+    while stack:
+        for x in stack.pop().items:
+            if isinstance(x, Node) and not x.dropped:
+                (doubted if x.doubt else stack).append(x)
+    outside = top.inner - top.links - sum(x.inner - x.links for x in doubted)
+    kept = None
+    for x in sorted(doubted, key=lambda x: (x.doubt, x.links - x.inner)):
+        size = x.inner - x.links
+        if kept is None and size >= LEAST and outside <= OUTSIDE * size and (x.doubt < 2 or outside < LEAST):
+            kept = x
+        else:
+            x.dropped = True
+    if kept:
+        _settle(kept)
+
+
+def _score(nodes: list[Node]) -> None:
+    _measure(nodes)
     for node in nodes:
         direct = sum(len(x.split()) > 0 for x in node.items if isinstance(x, str))
         if not node.inner or not (node.tag in _PARAGRAPH or node.tag in ("div", "section", "article") and direct):
@@ -220,6 +257,8 @@ def _leave_links(node: Node, keep: Node) -> None:
 
 def main_text(page: str) -> str:
     root = parse(page)
+    _measure(_ordered(root))
+    _settle(root)
     nodes = _ordered(root)
     _score(nodes)
     value = lambda n: n.points * (1 - n.links / n.inner) if n.inner else 0.0

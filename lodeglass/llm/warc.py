@@ -9,7 +9,9 @@ page id, which no common payload can skew. Archives rotate at `ROTATE` bytes, so
 shared folder. `read` also takes `spark.read.format("binaryFile")` rows.
 
 Null html is an empty payload. Rows with equal page id and payload are both responses if that id is the smallest. A null page id never
-serves as the target of a revisit. Truncated last records and files that do not start with a record give no rows.
+serves as the target of a revisit. Truncated last records, files that do not start with a record, and records of other kinds, without a page's id, a length or
+a digest, give no rows. Very long pages are records of archives of their own size; the length of a head is not limited. Empty tables give no archives, and no archives no
+records. Extra columns are ignored, whatever their names. The archives' rows are read by many tasks, but one archive by one: its whole chain lies in a row.
 """
 
 from __future__ import annotations
@@ -92,19 +94,26 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     return materialize(full.mapInArrow(write, "archive string, content binary"), "warc")
 
 
-_LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([0-9]+)[ \t]*\r\n", re.I)
+_BLANK = re.compile(rb"(?=\r\n\r\n)")
+_LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([0-9]+)[ \t]*(?=\r\n)", re.I)
 
 
 def candidates(content: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets that look like a record's head, and the offset that each claims for its successor (-1: it claims none)."""
-    starts, nexts, at = [], [], content.find(MAGIC)
-    while at >= 0:
-        end = content.find(b"\r\n\r\n", at)
-        size = _LENGTH.search(content, at, end + 2) if end >= 0 else None
-        starts.append(at)
-        nexts.append(end + 4 + int(size[1]) + 4 if size and len(size[1]) < 16 else -1)
-        at = content.find(MAGIC, at + 1)
-    return np.asarray(starts, np.int64), np.asarray(nexts, np.int64)
+    """Offsets that look like a record's head, and the offset that each claims for its successor (-1: it claims none).
+
+    A head ends at the next blank line and claims the first length it states. Blank lines and lengths are found once for all candidates, so that
+    payloads full of magic strings cost no more than others.
+    """
+    starts = np.array([m.start() for m in re.finditer(re.escape(MAGIC), content)], np.int64)
+    if not len(starts):
+        return starts, starts
+    blanks = np.array([*(m.start() for m in _BLANK.finditer(content)), len(content) + 1], np.int64)
+    found = list(_LENGTH.finditer(content))
+    lengths = np.array([*(int(m[1]) if len(m[1]) < 16 else -1 for m in found), -1], np.int64)
+    begins, ends = np.array([*(m.start() for m in found), len(content) + 1], np.int64), np.array([*(m.end() for m in found), len(content) + 1], np.int64)
+    head_end = blanks[np.searchsorted(blanks, starts)]
+    at = np.searchsorted(begins, starts)
+    return starts, np.where((head_end < len(content)) & (ends[at] <= head_end) & (lengths[at] >= 0), head_end + 4 + lengths[at] + 4, -1)
 
 
 def reachable(starts: np.ndarray, nexts: np.ndarray) -> np.ndarray:
@@ -130,15 +139,18 @@ def parse(content: bytes, start: int, end: int) -> tuple | None:
     cut = content.index(b"\r\n\r\n", start)
     head = dict(x.split(b": ", 1) for x in content[start + len(MAGIC) : cut].split(b"\r\n") if b": " in x)
     page = re.fullmatch(rb"<urn:page:(-?[0-9]+|none)>", head.get(b"WARC-Record-ID", b""))
-    kind = head.get(b"WARC-Type", b"").decode()
+    kind = head.get(b"WARC-Type", b"").decode(errors="replace")
     if not page or kind not in ("response", "revisit"):
         return None
     block = content[cut + 4 : end - 4]
     inner, _, payload = block.partition(b"\r\n\r\n")
-    size, sha = int(re.search(rb"Content-Length: ([0-9]+)", inner)[1]), head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
+    stated, sha = re.search(rb"Content-Length:[ \t]*([0-9]{1,15})(?![0-9])", inner, re.I), head.get(b"WARC-Payload-Digest", b"").decode(errors="replace").removeprefix("sha1:")
+    if not stated or not sha:
+        return None
+    size = int(stated[1])
     target = re.fullmatch(rb"<urn:page:(-?[0-9]+)>", head.get(b"WARC-Refers-To", b""))
     intact = not payload if kind == "revisit" else len(payload) == size and digest(payload) == sha
-    return None if page[1] == b"none" else int(page[1]), head.get(b"WARC-Target-URI", b"").decode(), size, sha, kind, int(target[1]) if target else None, payload if kind == "response" else None, intact
+    return None if page[1] == b"none" else int(page[1]), head.get(b"WARC-Target-URI", b"").decode(errors="replace"), size, sha, kind, int(target[1]) if target else None, payload if kind == "response" else None, intact
 
 
 def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:

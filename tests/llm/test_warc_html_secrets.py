@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 
@@ -54,6 +55,82 @@ def test_chain_rejects_magic_in_payloads():
     assert rows[-1] is None and all(rows[:-1])
 
 
+def plain_candidates(content):
+    """Head by head."""
+    out, at = [], content.find(warc.MAGIC)
+    while at >= 0:
+        end = content.find(b"\r\n\r\n", at)
+        size = re.search(rb"\r\nContent-Length:[ \t]*([0-9]+)[ \t]*\r\n", content[at : end + 2], re.I) if end >= 0 else None
+        out.append((at, end + 8 + int(size[1]) if size and len(size[1]) < 16 else -1))
+        at = content.find(warc.MAGIC, at + 1)
+    return out
+
+
+def test_candidates_match_plain_scan():
+    r = random.Random(3)
+    bits = (warc.MAGIC, b"Content-Length: 7\r\n", b"Content-Length:9", b"\r\n", b"\r\n\r\n", b"x", b"content-length: 12345678901234567\r\n", b"\r")
+    for _ in range(500):
+        body = b"".join(r.choice(bits) for _ in range(r.randint(0, 30)))
+        assert [(int(a), int(b)) for a, b in zip(*warc.candidates(body))] == plain_candidates(body)
+
+
+def test_hostile_inputs_are_read_in_linear_time():
+    for body in (warc.MAGIC * 500_000, (warc.MAGIC + b"Content-Length: 1\r\n") * 150_000 + b"\r\n", b"\r\n" * 2_500_000, (warc.MAGIC + b"\r\n") * 400_000):
+        start = time.process_time()
+        warc.reachable(*warc.candidates(body))
+        assert time.process_time() - start < 6
+    for page in ("<a '" * 1_250_000, "<b" * 2_500_000, '<a "' * 1_250_000 + ">", "<" * 5_000_000, "<!--" * 1_000_000, "<p>x" * 300_000, "<a '>" * 400_000, "&" * 5_000_000):
+        start = time.process_time()
+        html_main.main_text(page)
+        assert time.process_time() - start < 12, page[:10]
+
+
+def test_records_of_other_kinds_give_no_rows():
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    other = [b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha1:X", b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:1>", b"WARC-Type: warcinfo", b"WARC-Record-ID: \xff\xfe"]
+    body = b"".join(warc.MAGIC + head + b"\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n" for head in other)
+    starts, nexts = warc.candidates(body)
+    assert warc.reachable(starts, nexts).all() and [warc.parse(body, int(a), int(b)) for a, b in zip(starts, nexts)] == [None] * 4
+
+
+def test_odd_pages(spark):
+    """Very long pages, clashing and further columns, empty tables."""
+    rows = [(1, "u", "<p>" + "long text, " * 200_000 + "</p>", "x", 5), (2, "u", None, None, None), (1, "u", "<p>" + "long text, " * 200_000 + "</p>", "x", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, sha string, n_chars long")
+    got = warc.read_archives(warc.write_archives(df)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(1, 2_200_007, "response")] * 2 + [(2, 0, "response")] and all(r.intact for r in got)
+    text = ("long text, " * 200_000).strip()
+    assert sorted((r.page_id, r.text == text, r.n_chars) for r in html_main.extract(df).collect()) == [(1, True, len(text))] * 2 + [(2, False, 0)]
+    assert html_main.extract(df.limit(0)).count() == 0 and warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
+
+
+def test_main_text_of_generated_pages():
+    """Articles of every shape in wrappers of every kind, between noise of every kind: the text is the article's blocks, no more and no less."""
+    r = random.Random(12)
+    say = lambda n: " ".join(r.choice(("stone", "river,", "light", "green", "a", "of", "music,", "paper")) for _ in range(n)).capitalize()
+    noise = [
+        lambda: f"<nav><ul><li><a href=/>{say(3)}</a></li></ul></nav>", lambda: f"<aside><p>{say(40)}.</p></aside>", lambda: f'<div class="sidebar"><p>{say(20)}.</p></div>', lambda: f'<div id="cookie-notice x">{say(12)} <button>OK</button></div>',
+        lambda: f'<div class="ads">{say(9)}</div>', lambda: f"<form><label>{say(2)}</label><input name=q></form>", lambda: f"<script>var x = '<p>{say(9)}</p>';</script>", lambda: f"<!-- <p>{say(9)}</p> -->",
+        lambda: f'<section class="comments">{"".join(f"<p>{say(30)}.</p>" for _ in range(r.randint(1, 9)))}</section>', lambda: f"<footer><p>{say(9)}</p></footer>", lambda: f'<div role="navigation">{say(5)}</div>', lambda: f"<style>p {{ }}</style>",
+    ]
+    wrappers = [
+        lambda x: f"<article>{x}</article>", lambda x: f"<main>{x}</main>", lambda x: f'<div class="content">{x}</div>', lambda x: f'<form id="aspnetForm"><div>{x}</div></form>', lambda x: f'<div class="social-science article">{x}</div>',
+        lambda x: f'<div class="page"><div id="related-body">{x}</div></div>', lambda x: f"<div><section>{x}</section></div>", lambda x: x,
+    ]
+    for k in range(400):
+        want, inner = [], []
+        for _ in range(r.randint(3, 9)):
+            kind, text = r.choice(("p", "p", "p", "h2", "li", "blockquote", "td")), say(r.randint(25, 80))
+            want.append(" ".join(text.split()))
+            tag = text.replace(" ", "\n  ", 1) if r.random() < 0.3 else text
+            inner.append({"li": f"<ul><li>{tag}</li></ul>", "td": f"<table><tr><td>{tag}</td></tr></table>"}.get(kind, f"<{kind}>{tag}</{kind}>"))
+            if r.random() < 0.3:
+                inner.append(r.choice(noise[:8])())
+        parts = [r.choice(noise)() for _ in range(r.randint(0, 4))] + [r.choice(wrappers)("".join(inner))] + [r.choice(noise)() for _ in range(r.randint(0, 4))]
+        got = html_main.main_text(f"<html><head><title>T</title></head><body>{''.join(parts)}</body></html>")
+        assert got.split("\n") == want, parts
+
+
 ARTICLE = "<p>One long paragraph, with commas, and words that go on for a while.</p><p>Another &amp; one,\n with   <b>bold</b> text and a <a href=x>link</a>.</p><ul><li>first item<li>second item</ul>"
 TEXT = "Title\nOne long paragraph, with commas, and words that go on for a while.\nAnother & one, with bold text and a link.\nfirst item\nsecond item"
 
