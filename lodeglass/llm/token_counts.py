@@ -1,6 +1,7 @@
 """Token counts that follow edits without encoding the whole text again.
 
-A text is cut where its tokenizer cuts in any case: before a single space between two other characters. The pieces lie in the leaves of a segment
+A text is cut where its tokenizer cuts in any case: before a single space between two other characters, and, in passages without such spaces, on both sides of a single line end
+and where letters, digits and other characters meet. The pieces lie in the leaves of a segment
 tree with the characters and tokens of every subtree. An edit touches the leaves that it overlaps, and those beside them as far as their border
 is no such place any more (the boundary context); only their text is encoded again, and the sums above them are updated. Counts equal those
 of encoding the whole text.
@@ -8,12 +9,15 @@ of encoding the whole text.
 Edits are rows (id, seq, start, length, replacement): applied by seq (ties by start, length and text), with offsets in code points of the text as it then is,
 cut to its length. Null starts and lengths count as 0, null replacements as empty; edits of unknown documents have no effect. Null texts are empty.
 Edits meet their documents by id, so a hot document's edits go to one task, which applies them one by one in logarithmic time each; texts with no edits
-do not move. Repeated rows get a row each, with the same edits.
+do not move. Repeated rows get a row each, with the same edits. Very long texts are one tree each; a run of letters alone, however long, is one piece, since its
+tokens may depend on all of it. Empty tables give empty results. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from lodeglass.llm.arrow import frugal
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-LEAF_CHARS, CACHE = 512, 200_000
+LEAF_CHARS, LONG_PIECE, CACHE = 512, 64, 200_000
 SCHEMA = "doc_id long, n_chars long, n_tokens long, n_edits long, chars_after long, tokens_after long, chars_encoded long"
 
 
@@ -59,7 +63,7 @@ class Counter:
 
 
 def pieces(text: str) -> list[str]:
-    """`text`, cut before every space that stands alone between other characters."""
+    """`text`, cut before every space that stands alone between other characters, and long parts without such spaces at other borders."""
     parts = text.split(" ")
     out = [parts[0]]
     for p in parts[1:]:
@@ -67,12 +71,39 @@ def pieces(text: str) -> list[str]:
             out.append(" " + p)
         else:
             out[-1] += " " + p
-    return out
+    if max(map(len, out)) <= LONG_PIECE:
+        return out
+    return [x for p in out for x in (_parts(p) if len(p) > LONG_PIECE else (p,))]
+
+
+def _parts(piece: str) -> list[str]:
+    cuts = [i for i in range(1, len(piece)) if _meets(piece[max(0, i - 2) : i], piece[i : i + 2])]
+    return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])]
+
+
+@lru_cache(100_000)
+def _kind(char: str) -> str:
+    """L, N or another letter for others; empty for characters that this Unicode table does not know."""
+    kind = unicodedata.category(char)
+    return "" if kind == "Cn" else kind[0] if kind[0] in "LN" else "o"
+
+
+def _meets(left: str, right: str) -> bool:
+    """Whether the tokenizer cuts at a line end or a change of kind between two texts, of which the ends are enough."""
+    a, b = left[-1], right[0]
+    if a.isspace():
+        return a == "\n" and len(left) > 1 and not left[-2].isspace() and not b.isspace()
+    if b.isspace():
+        return b == "\n" and len(right) > 1 and not right[1].isspace()
+    x, y = _kind(a), _kind(b)
+    return x != y and x != "" and y != "" and a != "'"  # letters after an apostrophe may belong to it
 
 
 def is_border(left: str, right: str) -> bool:
     """Whether the tokenizer cuts between the two whatever else they hold."""
-    return len(right) > 1 and bool(left) and right[0] == " " and not right[1].isspace() and not left[-1].isspace()
+    if not left or not right:
+        return False
+    return len(right) > 1 and right[0] == " " and not right[1].isspace() and not left[-1].isspace() or _meets(left[-2:], right[:2])
 
 
 class TokenTree:

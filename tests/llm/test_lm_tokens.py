@@ -101,10 +101,13 @@ def test_scores_of_odd_rows(spark, odd):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
 
 
-def test_tree_counts_equal_whole_counts():
+def test_tree_counts_equal_whole_counts(monkeypatch):
     c, r = token_counts.counter(), random.Random(8)
-    bits = ["word", " ", "  ", "\n", "it's", "don't ", "日本", "123", "...", " a", " ", "\x1c", "é", "x" * 40]
-    for i in range(60):
+    bits = ["word", " ", "  ", "\n", "it's", "don't ", "日本", "123", "...", " a", " ", "\x1c", "é", "x" * 40, "。", "、", "'", "'s", "9", "\n日", "a\nb", "\u0301", "²", "\u3000"]
+    for i in range(120):
+        monkeypatch.setattr(token_counts, "LONG_PIECE", r.choice((0, 5, 64)))
+        monkeypatch.setattr(token_counts, "LEAF_CHARS", r.choice((1, 8, 512)))
+        c.known.clear()
         text = "".join(r.choice(bits) for _ in range(r.choice((0, 1, 5, 400, 3000))))
         tree = token_counts.TokenTree(text, c)
         assert tree.n_tokens == c.whole(text) and tree.text() == text
@@ -117,11 +120,31 @@ def test_tree_counts_equal_whole_counts():
 
 def test_edits_encode_little():
     c = token_counts.counter()
+    text = "これは長い文章です。次の文、そして数字12。\n" * 8_000  # no spaces
+    tree = token_counts.TokenTree(text, c)
+    assert tree.n_tokens == c.whole(text)
+    tree.edit(90_000, 3, "新しい")
+    assert tree.encoded < 4 * token_counts.LEAF_CHARS and tree.n_tokens == c.whole(text[:90_000] + "新しい" + text[90_003:])
     tree = token_counts.TokenTree(prose(1, 20_000), c)
     tree.edit(50_000, 3, "new")
     assert tree.encoded < 4 * token_counts.LEAF_CHARS
 
 
+def test_proposed_edits_match_whole_counts(spark, odd):
+    """The registered query's own edits, applied one by one to the whole text."""
+    c = token_counts.counter()
+    rows = odd.selectExpr("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, prose(i, 7 * i)) for i in range(40)], "doc_id long, text string"))
+    want = []
+    for doc, text in rows.collect():
+        text = now = text or ""
+        n = len(text)
+        for at, size, new in ((n // 3, 0, "ing"), (n // 2, min(40, n // 10), ""), (max(n - 20, 0), 5, " It was added later. ")):
+            now = now[: min(at, len(now))] + new + now[min(at, len(now)) + size :]
+        want.append((doc, n, c.whole(text), 3, len(now), c.whole(now)))
+    got = token_counts.count_edited(rows.select("doc_id", "text", token_counts.proposed_edits("text").alias("_edits"))).collect()
+    assert sorted((tuple(r)[:6] for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_count_with_edit_tables(spark, odd):
     edits = spark.createDataFrame([(1, 1, 0, 5, "Hello"), (1, 2, 3, 0, " x "), (5, 1, None, None, None), (99, 1, 0, 0, "q"), (None, 1, 0, 0, "q")], "doc_id long, seq long, start long, length long, replacement string")
     c = token_counts.counter()
