@@ -79,6 +79,44 @@ def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_edges(_line_pairs(spark, sf_dir, "l_suppkey").select(node("a").alias("source"), node("b").alias("target"), "is_runtime", "is_hier"))
 
 
+_NONE = "CAST(array() AS array<string>)"
+
+
+def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per supplier, `src/nation_N/supply_K` with an extension by K, and its dependencies and imports: by relative paths, dots, ends of paths, crate paths and dotted names."""
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k", "s_nationkey % 4 AS n", "element_at(array('.ts', '.py', '.rs'), CAST(s_suppkey % 3 + 1 AS int)) AS ext")
+    path = "concat('src/nation_', n, '/supply_', k, ext)"
+    other = "concat('nation_', (n + 1) % 4, '/supply_', 3 * k % 100 + 1)"
+    return rows.selectExpr(
+        f"{path} AS path",
+        f"CASE ext WHEN '.ts' THEN array(concat('./supply_', k + 25), concat('../', {other}), {other}) WHEN '.py' THEN array(concat('.supply_', k + 25), concat('..', replace({other}, '/', '.'))) ELSE array(concat('crate::', replace({other}, '/', '::')), concat('crate::supply_', 7 * k % 50)) END AS dependencies",
+        f"CASE WHEN ext = '.py' THEN array(replace({other}, '/', '.'), concat('supply_', 5 * k % 90, '.x'), concat('src.nation_', n, '.supply_', k + 50)) ELSE {_NONE} END AS imports",
+        f"CASE WHEN k % 4 = 0 THEN map(concat('./supply_', k + 25), 'type-only') ELSE CAST(map() AS map<string,string>) END AS dependency_kinds",
+    )
+
+
+def workspace_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(files, packages): a package per nation with a source file per supplier, which imports that of the supplier whose key is seven times its own."""
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k", "s_nationkey AS n", "CASE WHEN s_suppkey % 2 = 0 THEN '.ts' ELSE '.rs' END AS ext")
+    other = s.selectExpr("k AS j", "n AS m")
+    spec = "CASE WHEN ext = '.ts' THEN concat('@n/nation_', m, '/supply_', j) ELSE concat('nation_', m, '::supply_', j, '::Thing') END"
+    rows = s.join(other, F.expr("j = 7 * k"), "left").selectExpr(
+        "concat('packages/nation_', n, '/src/supply_', k, ext) AS path", f"CASE WHEN j IS NULL THEN {_NONE} ELSE array({spec}) END AS dependencies", f"{_NONE} AS imports", "CAST(map() AS map<string,string>) AS dependency_kinds"
+    )
+    names = s.select("n").distinct().selectExpr("concat('packages/nation_', n) AS directory", "explode(array(struct('js' AS ecosystem, concat('@n/nation_', n) AS name), struct('rust' AS ecosystem, concat('nation_', n) AS name))) AS p")
+    return rows, names.select("p.ecosystem", "p.name", "directory")
+
+
+def module_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target): each supplier's file with hubs and files of its nation, of the next one and of the folder above, both ways."""
+    k, n, ext = "s_suppkey", "s_nationkey", "element_at(array('ts', 'py', 'rs'), CAST(s_suppkey % 3 + 1 AS int))"
+    hub = "element_at(array('index.ts', '__init__.py', 'mod.rs'), CAST(s_suppkey % 3 + 1 AS int))"
+    own = f"concat('src/nation_', {n}, '/supply_', {k}, '.', {ext})"
+    others = [f"concat('src/nation_', {n}, '/', {hub})", f"concat('src/nation_', ({n} + 1) % 25, '/', {hub})", f"concat('src/nation_', {n}, '.', {ext})", f"concat('src/', {hub})", f"concat('src/nation_', {n}, '/supply_', {k}, '/deep.', {ext})"]
+    rows = table(spark, sf_dir, "supplier").selectExpr(f"{own} AS a", f"explode(array({', '.join(others)})) AS b")
+    return rows.selectExpr("a AS source", "b AS target").union(rows.selectExpr("b", "a"))
+
+
 def page_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and imports of every page."""
     hrefs = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))

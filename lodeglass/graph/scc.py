@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeglass.schema import edge_label
-from lodeglass.storage import materialize
+from lodeglass.storage import discard, materialize
 
 
 def cycle_edges(edges: DataFrame, edge_mode: str = "runtime", include_hierarchy: bool = False) -> DataFrame:
@@ -37,12 +37,15 @@ def _trim(edges: DataFrame) -> DataFrame:
 
 def _settle(labels: DataFrame, edges: DataFrame, seeds_only: bool) -> DataFrame:
     """Spreads the least label along edges (source to target) until nothing changes. Labels (node, colour)."""
+    now = None
     while True:
         sent = edges.join(labels, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("new"))
         joined = labels.join(sent, "node", "full" if seeds_only else "left")
         least = F.least(F.coalesce("colour", "new"), F.coalesce("new", "colour"))
-        now = materialize(joined.select("node", least.alias("colour"), (F.col("colour").isNull() | (least < F.col("colour"))).alias("moved")), "scc")
+        last, now = now, materialize(joined.select("node", least.alias("colour"), (F.col("colour").isNull() | (least < F.col("colour"))).alias("moved")), "scc")
         labels = now.select("node", "colour")
+        if last is not None:
+            discard(last)
         if now.where("moved").isEmpty():
             return labels
 

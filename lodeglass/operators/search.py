@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lodeglass.functions.names import in_loc_range, last_segment, match_score
 from lodeglass.functions.paths import strip_source_ext
-from lodeglass.graph.closure import closure_pairs
+from lodeglass.graph.closure import reached_by_others
 from lodeglass.operators.lookup import find_export_matches, member_index, winners
 
 FUZZY_CAP = 50
@@ -63,8 +63,8 @@ def depends_on(target: str, files: DataFrame, edges: DataFrame) -> DataFrame:
     stem = strip_source_ext(F.lit(target))
     own = strip_source_ext(F.col("path"))
     targets = files.where((F.col("path") == target) | (own == stem) | own.endswith(F.concat(F.lit("/"), stem))).select(F.col("path").alias("node"))
-    # one closure for each target: a target is a result itself if it depends on another one
-    found = closure_pairs(targets, edges, "target", "source").where("depth > 0").select(F.col("node").alias("path")).distinct()
+    # a target is a result itself if it depends on another one
+    found = reached_by_others(targets, edges, "target", "source").select(F.col("node").alias("path"))
     if not found.isEmpty():
         return found
     specs = files.select("path", F.explode("dependencies").alias("d"))

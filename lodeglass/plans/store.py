@@ -1,11 +1,15 @@
 """The index on storage: immutable snapshots of the fact tables.
 
-Every write makes a new snapshot, a folder per table; the last complete one is current. Readers keep theirs, a failed write leaves the current
-one as it was, and an update writes only through joins on paths, so it works on any file system that Spark writes to.
+A write makes new versions of tables, a folder each, and then one manifest that names the version of every table; the last manifest is current. So a write of several tables
+shows as a whole or not at all, readers keep theirs, and a failed write leaves the current one as it was. An update writes only through joins on paths, so it works on any
+file system that Spark writes to and that renames a file in one step. One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,15 +53,26 @@ class IndexStore:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _snapshots(self, table: str) -> list[int]:
-        folder = self._path(f"{self.root}/{table}")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.root}/{table}/{n}/_SUCCESS")))
+    def _names(self, folder: str) -> list[str]:
+        place = self._path(f"{self.root}/{folder}")
+        return [x.getPath().getName() for x in self._fs.listStatus(place)] if self._fs.exists(place) else []
+
+    def _manifests(self) -> list[int]:
+        return sorted(int(n[2:]) for n in self._names("manifest") if n.startswith("m="))
+
+    def _versions(self, manifest: int | None = None) -> dict[str, str]:
+        """The version of each table, by the current manifest or the one given."""
+        known = [manifest] if manifest is not None else self._manifests()[-1:]
+        if not known:
+            return {}
+        stream = self._fs.open(self._path(f"{self.root}/manifest/m={known[0]}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def exists(self) -> bool:
-        return bool(self._snapshots("files"))
+        return "files" in self._versions()
 
     def load(self, table: str) -> DataFrame:
         """The current snapshot; an empty table before the first write. An index of another schema version is refused."""
@@ -65,48 +80,78 @@ class IndexStore:
             raise KeyError(table)
         if table != "meta" and self.meta().get("schema_version", str(schema.SCHEMA_VERSION)) != str(schema.SCHEMA_VERSION):
             raise RuntimeError("the index has another schema version; build it again")
-        versions = self._snapshots(table)
-        if not versions:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v={versions[-1]}")
+        version = self._versions().get(table)
+        return self._read(table, version) if version else self.spark.createDataFrame([], TABLES[table])
+
+    def _read(self, table: str, version: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v={version}")
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: self.load(t) for t in TABLES}
 
-    def _write(self, table: str, df: DataFrame, keep: int = 2) -> None:
-        versions = self._snapshots(table)
+    def _stage(self, table: str, df: DataFrame, staged: dict[str, str]) -> DataFrame:
+        """Writes a new version that no manifest names yet."""
+        staged[table] = uuid.uuid4().hex
         columns = [c.split(" ")[0] for c in _split(TABLES[table])]
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{table}/v={versions[-1] + 1 if versions else 0}")
-        for old in versions[: -(keep - 1)] if keep > 1 else versions:
-            self._fs.delete(self._path(f"{self.root}/{table}/v={old}"), True)
+        df.select(*columns).write.parquet(f"{self.root}/{table}/v={staged[table]}")
+        return self._read(table, staged[table])
+
+    def _commit(self, staged: dict[str, str], keep: int = 2) -> None:
+        """Makes staged versions current, all at once, and deletes versions that none of the last `keep` manifests names."""
+        known = self._manifests()
+        number = known[-1] + 1 if known else 0
+        draft, final = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest/m={number}")
+        stream = self._fs.create(draft)
+        stream.write(bytearray(json.dumps({**self._versions(), **staged}).encode()))
+        stream.close()
+        if not self._fs.rename(draft, final):
+            raise RuntimeError("another writer has changed the index")
+        known.append(number)
+        for old in known[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/manifest/m={old}"), False)
+        named = [self._versions(m) for m in known[-keep:]]
+        for table in TABLES:
+            for n in self._names(table):
+                if n.startswith("v=") and n[2:] not in {v.get(table) for v in named}:
+                    self._fs.delete(self._path(f"{self.root}/{table}/{n}"), True)
+
+    def _write(self, table: str, df: DataFrame) -> None:
+        staged: dict[str, str] = {}
+        self._stage(table, df, staged)
+        self._commit(staged)
 
     def write_full(self, files: DataFrame, exports: DataFrame, members: DataFrame, edges: DataFrame | None = None, packages: DataFrame | None = None) -> None:
         """Everything anew: ids by path, one row per key (the last by lines), rows with impossible kinds or visibilities refused."""
         self._check(exports)
         self._check(members)
-        self._write("files", files)
-        self._write("exports", unique(exports, "name"))
-        self._write("members", unique(members, "dotted_name"))
-        self._write("ids", dense_ids(self.load("files")))
-        if packages is not None:
-            self._write("packages", packages)
-        self._write("edges", edges if edges is not None else self._edges())
+        staged: dict[str, str] = {}
+        files = self._stage("files", files, staged)
+        self._stage("exports", unique(exports, "name"), staged)
+        self._stage("members", unique(members, "dotted_name"), staged)
+        self._stage("ids", dense_ids(files), staged)
+        packages = self._stage("packages", packages, staged) if packages is not None else self.load("packages")
+        self._stage("edges", edges if edges is not None else self._edges(files, packages), staged)
+        self._commit(staged)
 
     def upsert(self, files: DataFrame, exports: DataFrame, members: DataFrame) -> None:
         """Replaces the rows of the given files; known ids stay."""
         self._check(exports)
         self._check(members)
-        paths = files.select("path").distinct()
+        paths, staged = files.select("path").distinct(), {}
         for table, new, key in (("files", files, None), ("exports", exports, "name"), ("members", members, "dotted_name")):
             owner = OWNER[table]
             rest = self.load(table).join(paths.select(F.col("path").alias(owner)), owner, "left_anti")
-            self._write(table, rest.unionByName(unique(new, key) if key else new, allowMissingColumns=True))
-        self._write("ids", dense_ids(self.load("files"), self.load("ids")))
+            written = self._stage(table, rest.unionByName(unique(new, key) if key else new, allowMissingColumns=True), staged)
+            if table == "files":
+                self._stage("ids", dense_ids(written, self.load("ids")), staged)
+        self._commit(staged)
 
     def delete(self, paths: DataFrame) -> None:
         """Drops files with their symbols and ids. Edges stay until they are rebuilt."""
+        staged: dict[str, str] = {}
         for table, owner in (*OWNER.items(), ("ids", "path")):
-            self._write(table, self.load(table).join(paths.select(F.col("path").alias(owner)).distinct(), owner, "left_anti"))
+            self._stage(table, self.load(table).join(paths.select(F.col("path").alias(owner)).distinct(), owner, "left_anti"), staged)
+        self._commit(staged)
 
     def refresh_fingerprints(self, prints: DataFrame) -> None:
         """Sets the fingerprint columns of known files, nothing else."""
@@ -123,27 +168,31 @@ class IndexStore:
 
     def rebuild_edges(self) -> None:
         """From all files, not only changed ones."""
-        self._write("edges", self._edges())
+        self._write("edges", self._edges(self.load("files"), self.load("packages")))
 
-    def _edges(self) -> DataFrame:
+    @staticmethod
+    def _edges(files: DataFrame, packages: DataFrame) -> DataFrame:
         from lodeglass.operators.resolve import build_edges
 
-        return build_edges(self.load("files"), self.load("packages"))
+        return build_edges(files, packages)
 
     def write_meta(self, values: dict[str, str | None]) -> None:
         rows = [(k, v) for k, v in {**self.meta(), "schema_version": str(schema.SCHEMA_VERSION), **values}.items() if v is not None]
         self._write("meta", self.spark.createDataFrame(rows, schema.META))
 
     def meta(self) -> dict[str, str]:
-        return {r["key"]: r["value"] for r in self.load("meta").limit(1000).collect()}
+        """All entries; there are as many as names were ever written."""
+        return {r["key"]: r["value"] for r in self.load("meta").collect()}
 
     def clear(self, drop: bool = False) -> None:
         """Empties the tables, or deletes the folder."""
         if drop:
             self._fs.delete(self._path(self.root), True)
             return
+        staged: dict[str, str] = {}
         for table, ddl in TABLES.items():
-            self._write(table, self.spark.createDataFrame([], ddl))
+            self._stage(table, self.spark.createDataFrame([], ddl), staged)
+        self._commit(staged)
 
     @staticmethod
     def _check(symbols: DataFrame) -> None:

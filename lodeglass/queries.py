@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeglass import adapters as A
 from lodeglass.functions.names import in_loc_range, is_test_path, is_test_symbol, match_score, tokens
-from lodeglass.functions.paths import normalize
+from lodeglass.functions.paths import is_hierarchy, normalize
 from lodeglass.functions.signatures import arity, return_type, shape_key
 from lodeglass.graph import closure, scc
 from lodeglass.graph.components import connected_components
@@ -643,3 +643,77 @@ def _resolvable(spark, sf):
 def resolve_relative(spark, sf):
     files = _resolvable(spark, sf)
     return resolve.resolve_relative(resolve.specifiers(files), files).select("source", "target").distinct()
+
+
+_MODULES = """own AS (SELECT s_suppkey AS k, s_nationkey % 4 AS n, ['.ts', '.py', '.rs'][s_suppkey % 3 + 1] AS ext, 'nation_' || (s_nationkey + 1) % 4 || '/supply_' || (3 * s_suppkey % 100 + 1) AS o FROM supplier),
+mods AS (SELECT k, n, ext, o, 'src/nation_' || n || '/supply_' || k || ext AS path, 'src/nation_' || n || '/supply_' || k AS stem, 'supply_' || k AS base FROM own),
+rel AS (SELECT path AS source, './supply_' || (k + 25) AS specifier, 'src/nation_' || n || '/supply_' || (k + 25) AS key, k % 4 <> 0 AS is_runtime FROM mods WHERE ext = '.ts'
+    UNION ALL SELECT path, '../' || o, 'src/' || o, true FROM mods WHERE ext = '.ts' UNION ALL SELECT path, '.supply_' || (k + 25), 'src/nation_' || n || '/supply_' || (k + 25), true FROM mods WHERE ext = '.py'
+    UNION ALL SELECT path, '..' || replace(o, '/', '.'), 'src/' || o, true FROM mods WHERE ext = '.py'),
+relative AS (SELECT source, specifier, is_runtime, min(path) AS target FROM rel JOIN mods ON stem = key GROUP BY ALL),
+ends AS (SELECT path AS source, o AS specifier, o AS way, false AS crate FROM mods WHERE ext = '.ts' UNION ALL SELECT path, 'crate::' || replace(o, '/', '::'), o, true FROM mods WHERE ext = '.rs'
+    UNION ALL SELECT path, 'crate::supply_' || (7 * k % 50), 'supply_' || (7 * k % 50), true FROM mods WHERE ext = '.rs'),
+suffix AS (SELECT DISTINCT source, specifier, true AS is_runtime, path AS target FROM ends JOIN mods ON ends_with(base, split_part(way, '/', -1)) AND source <> path AND (NOT crate OR ends_with(stem, way))),
+names AS (SELECT path AS source, replace(o, '/', '.') AS specifier FROM mods WHERE ext = '.py' UNION ALL SELECT path, 'supply_' || (5 * k % 90) || '.x' FROM mods WHERE ext = '.py' UNION ALL SELECT path, 'src.nation_' || n || '.supply_' || (k + 50) FROM mods WHERE ext = '.py'),
+dotted AS (SELECT DISTINCT source, specifier, true AS is_runtime, path AS target FROM names JOIN mods ON (stem = replace(specifier, '.', '/') OR ends_with(stem, '/' || replace(specifier, '.', '/'))) AND source <> path)"""
+_RESOLVED = ("source", "specifier", "is_runtime", "target")
+
+
+@query(f"WITH {_MODULES} SELECT * FROM relative")
+def resolve_modules_relative(spark, sf):
+    """Relative paths of scripts and leading dots of Python."""
+    files = A.module_files(spark, sf)
+    return resolve.resolve_relative(resolve.specifiers(files), files).select(*_RESOLVED)
+
+
+@query(f"WITH {_MODULES} SELECT * FROM suffix")
+def resolve_suffix(spark, sf):
+    files = A.module_files(spark, sf)
+    return resolve.resolve_suffix(resolve.specifiers(files), files).select(*_RESOLVED)
+
+
+@query(f"WITH {_MODULES} SELECT * FROM dotted")
+def resolve_dotted(spark, sf):
+    return resolve.resolve_dotted(A.module_files(spark, sf)).select(*_RESOLVED)
+
+
+@query(f"WITH {_MODULES}, every AS (SELECT * FROM relative UNION ALL SELECT * FROM suffix UNION ALL SELECT * FROM dotted) SELECT source, target, bool_or(is_runtime) AS is_runtime, false AS is_hier FROM every GROUP BY 1, 2")
+def build_edges(spark, sf):
+    """All rules at once, merged per pair."""
+    return resolve.build_edges(A.module_files(spark, sf))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, CASE WHEN s_suppkey % 2 = 0 THEN '.ts' ELSE '.rs' END AS ext FROM supplier)
+    SELECT 'packages/nation_' || a.n || '/src/supply_' || a.k || a.ext AS source, CASE WHEN a.ext = '.ts' THEN '@n/nation_' || b.n || '/supply_' || b.k ELSE 'nation_' || b.n || '::supply_' || b.k || '::Thing' END AS specifier, true AS is_runtime,
+        'packages/nation_' || b.n || '/src/supply_' || b.k || b.ext AS target FROM s a JOIN s b ON b.k = 7 * a.k AND a.ext = b.ext AND a.k <> b.k"""
+)
+def resolve_workspace(spark, sf):
+    return resolve.resolve_workspace(*A.workspace_files(spark, sf)).select(*_RESOLVED)
+
+
+_HUBS = "('index.ts', '__init__.py', 'mod.rs')"
+
+
+@query(
+    f"""WITH rows AS (SELECT 'src/nation_' || s_nationkey || '/supply_' || s_suppkey || '.' || e AS a, unnest(['src/nation_' || s_nationkey || '/' || h, 'src/nation_' || (s_nationkey + 1) % 25 || '/' || h, 'src/nation_' || s_nationkey || '.' || e, 'src/' || h,
+        'src/nation_' || s_nationkey || '/supply_' || s_suppkey || '/deep.' || e]) AS b FROM (SELECT *, ['ts', 'py', 'rs'][s_suppkey % 3 + 1] AS e, ['index.ts', '__init__.py', 'mod.rs'][s_suppkey % 3 + 1] AS h FROM supplier)),
+    pairs AS (SELECT a AS source, b AS target FROM rows UNION ALL SELECT b, a FROM rows),
+    parts AS (SELECT *, regexp_replace(source, '\\.[a-z]+$', '') AS sa, regexp_replace(target, '\\.[a-z]+$', '') AS sb, split_part(source, '/', -1) IN {_HUBS} AS ha, split_part(target, '/', -1) IN {_HUBS} AS hb FROM pairs),
+    mods AS (SELECT *, CASE WHEN ha THEN regexp_extract(source, '^(.*)/[^/]*$', 1) ELSE sa END AS ma, CASE WHEN hb THEN regexp_extract(target, '^(.*)/[^/]*$', 1) ELSE sb END AS mb FROM parts)
+    SELECT source, target, (ma = regexp_extract(mb, '^(.*)/[^/]*$', 1) AND (ha OR sa = regexp_extract(mb, '^(.*)/[^/]*$', 1))) OR (mb = regexp_extract(ma, '^(.*)/[^/]*$', 1) AND (hb OR sb = regexp_extract(ma, '^(.*)/[^/]*$', 1))) AS is_hier FROM mods"""
+)
+def module_hierarchy(spark, sf):
+    """Whether one file of a pair is the direct module parent of the other."""
+    return A.module_pairs(spark, sf).select("source", "target", is_hierarchy(F.col("source"), F.col("target")).alias("is_hier"))
+
+
+@query(
+    "SELECT source, target, s AS specifier FROM (SELECT source, target, unnest(list_distinct([r, regexp_replace(r, '\\.[a-z]+$', '')])) AS s FROM (SELECT source, target, '../' || CASE WHEN split_part(source, '/', 1) = split_part(target, '/', 1) THEN split_part(target, '/', 2) || '/' || split_part(target, '/', 3) ELSE '../' || target END AS r FROM edges WHERE split_part(source, '/', 2) <> split_part(target, '/', 2) OR split_part(source, '/', 1) <> split_part(target, '/', 1)))",
+    "parts part_files pairs edges",
+)
+def import_specifiers_all(spark, sf):
+    """With and without extension."""
+    e = A.edges(spark, sf)
+    a, b = F.split("source", "/"), F.split("target", "/")
+    return resolve.import_specifiers(e.where((F.get(a, F.lit(1)) != F.get(b, F.lit(1))) | (F.get(a, F.lit(0)) != F.get(b, F.lit(0)))).select("source", "target"))

@@ -316,3 +316,64 @@ def test_edge_labels(spark):
     e = edges(spark, [("a", "b", r, h) for r in (True, False) for h in (True, False)])
     assert {r.k for r in e.select(schema.edge_label().alias("k")).collect()} == {"runtime", "mod-hierarchy", "type-only", "type-only mod-hierarchy"}
     assert spark.range(1).select(schema.valid_path(F.lit("a/../b")).alias("x")).first().x is False
+
+
+def test_writes_of_several_tables_show_as_a_whole(spark, tmp_path, monkeypatch):
+    """A write that fails between two tables leaves the index as it was, and what it left behind goes with the next one."""
+    from lodeglass import schema
+    from lodeglass.plans.store import IndexStore
+
+    store = IndexStore(spark, str(tmp_path / "index"))
+    rows = lambda *paths: spark.createDataFrame([(p,) for p in paths], "path string").selectExpr("path", *[f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in spark.createDataFrame([], schema.FILES).schema if f.name != "path"])
+    none, members = spark.createDataFrame([], schema.EXPORTS), spark.createDataFrame([], schema.MEMBERS)
+    edges = spark.createDataFrame([], schema.EDGES)
+    store.write_full(rows("a.ts", "b.ts"), none, members, edges)
+    stage = store._stage
+
+    def broken(table, df, staged):
+        if table == "members":
+            raise OSError("the disk is full")
+        return stage(table, df, staged)
+
+    monkeypatch.setattr(store, "_stage", broken)
+    with pytest.raises(OSError):
+        store.upsert(rows("c.ts"), none, members)
+    monkeypatch.undo()
+    assert sorted(r.path for r in store.load("files").collect()) == ["a.ts", "b.ts"] and store.load("ids").count() == 2
+    store.upsert(rows("c.ts"), none, members)
+    store.upsert(rows("d.ts"), none, members)
+    assert sorted(r.path for r in store.load("files").collect()) == ["a.ts", "b.ts", "c.ts", "d.ts"] and store.load("ids").count() == 4
+    assert len(store._names("files")) == 2 and len(store._names("manifest")) <= 4  # two versions; manifests and their checksums
+    store.write_meta({f"key{i}": "x" for i in range(1500)})
+    assert len(store.meta()) == 1501
+
+
+def test_reached_by_others(spark):
+    import random
+
+    from lodeglass.graph import closure
+
+    r = random.Random(3)
+    for n, m in ((12, 14), (30, 40), (8, 30)):
+        pairs = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(m)]
+        start = [f"n{i}" for i in range(0, n, 3)]
+        want = set()
+        for s in start:
+            seen, todo = {s}, [s]
+            while todo:
+                at = todo.pop()
+                for a, b in pairs:
+                    if a == at and b not in seen:
+                        seen.add(b)
+                        todo.append(b)
+            want |= seen - {s}
+        df = spark.createDataFrame(pairs, "source string, target string")
+        assert {x.node for x in closure.reached_by_others(spark.createDataFrame([(s,) for s in start], "node string"), df).collect()} == want
+
+
+def test_long_chains_are_compacted(spark):
+    from lodeglass.graph import closure
+
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(40)], "source string, target string")
+    got = closure.reachable_from(spark.createDataFrame([("005",)], "node string"), chain)
+    assert sorted((r.node, r.depth) for r in got.collect()) == [(f"{i:03}", i - 5) for i in range(5, 41)]
