@@ -42,7 +42,7 @@ from lodeglass.storage import discard, materialize
 WORDS, SIMILARITY, MINIMA, TUPLES, BANDS = 5, 0.8, 2, 2, 36
 SHARE = SIMILARITY / (1 + SIMILARITY)  # of both texts' words together, that must be aligned
 ROUNDS, SMALL = 3, 64
-BLOCK_WEIGHT, TEXT_WEIGHT = 512_000, 2_000  # a block's words; what a text counts besides its words
+BLOCK_WEIGHT, TEXT_WEIGHT = 512_000, 250  # a block's words; what a text counts besides its words
 FIRST_BANDS = 4  # of the first round, in which most classes form
 SALT = 16  # parts of a class that has grown
 CACHE_WORDS, HELD_WORDS, STRIP = 100_000, 1_000_000, 4096
@@ -358,9 +358,9 @@ def _joined_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
         common = np.zeros((len(left), len(right)), np.float32)
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        for start in range(0, int((count > 1).sum()), 8192):
-            a, b = np.searchsorted(column, (start, start + 8192))
-            part = np.zeros((len(words), 8192), np.float32)
+        for start in range(0, int((count > 1).sum()), 2048):
+            a, b = np.searchsorted(column, (start, start + 2048))
+            part = np.zeros((len(words), 2048), np.float32)
             part[owner[a:b], column[a:b] - start] = 1
             common += part[left] @ part[right].T
         enough = common >= SHARE * (n[left][:, None] + n[right][None, :]) - 1e-3

@@ -196,7 +196,7 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(omh_dedup, "ROUNDS", 1)
     monkeypatch.setattr(omh_dedup, "SMALL", 2)
-    monkeypatch.setattr(omh_dedup, "BLOCK_WEIGHT", 17_000)
+    monkeypatch.setattr(omh_dedup, "BLOCK_WEIGHT", 3_200)
     got = {r.doc_id: r.class_id for r in omh_dedup.classes(df).collect()}
     assert got == brute_classes(rows)
 
