@@ -58,6 +58,20 @@ def test_stages_match_brute_force(spark, tables):
     assert {d for d, _, _ in whole} == {d for d, _ in clean}
 
 
+def test_odd_rows_from_end_to_end(spark, odd, tmp_path):
+    """Nulls, repeated rows and ids, very long texts, columns whose names operators use inside; then a table without rows."""
+    for name, rows in (("some", odd), ("none", odd.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(0, prose(900, 30))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert {r.doc_id for r in out} == ({1, 5, None} if name == "some" else set())
+        for doc in {r.doc_id for r in out}:
+            pieces = sorted((r.start, r.length) for r in out if r.doc_id == doc)
+            assert [a for a, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))] and {r.doc_tokens for r in out if r.doc_id == doc} == {sum(n for _, n in pieces)}
+
+
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"} and set(ORACLE_SQL) <= set(QUERIES)
     assert all(m.__doc__ for m in (quality_rules, omh_dedup, decontaminate, pii))
