@@ -12,9 +12,10 @@ from lodeglass.functions.names import is_test_path, is_test_symbol, tokens
 from lodeglass.functions.signatures import arity, blend, jaccard, return_type, shape_key, shape_score
 from lodeglass.graph.components import connected_components
 from lodeglass.operators.listing import in_directory
-from lodeglass.storage import materialize
+from lodeglass.storage import discard, materialize
 
-MIN_SIMILAR, MIN_DUPLICATE, BLOCK_CAP, CLUSTER_CAP, LIMIT, PROBES = 0.30, 0.90, 64, 64, 10, 1_000
+MIN_SIMILAR, MIN_DUPLICATE, BLOCK_CAP, CLUSTER_CAP, LIMIT, PROBES, WIDE = 0.30, 0.90, 64, 64, 10, 1_000, 6
+ANY = -2  # stands for any arity
 
 
 def candidates(exports: DataFrame, members: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -52,27 +53,90 @@ def find_similar(probe: DataFrame, pool: DataFrame, directory: str | None = None
     return out.select("b.name", "b.file_path", "b.kind", "name_score", "shape_score", "kind_score", "neighborhood", "score").orderBy(F.desc("score"), "name", "file_path").limit(limit)
 
 
+def _agreements(rows: DataFrame, side: str, some_far: bool) -> DataFrame:
+    """A row for each way in which a row of `rows` (struct `side`, tokens `t`, those to compare `u`, flag `far`) can agree with another one: `k_arity`, `k_ret`, `k_kind` (what both have, or any) and
+    `k_tokens` (what both have of `u`, none if these are over `WIDE`), as far as such a pair can score at least 0.30. `k_far`: for probes with a neighbourhood, so of candidates without. Probes (`a`) also
+    look for arities beside their own; `w_arity` (0 equal, 1 off by one, 2 neither), `w_ret` and `w_kind` tell what a way stands for."""
+    x, probe = F.col(side), side == "a"
+    way = lambda value, w: F.struct(value.alias("k"), w.alias("w"))
+    every = lambda own, some, rest: F.when(own, F.array(*some, rest)).otherwise(F.array(rest))
+    shaped = F.lit(True) if probe else x["signature"].isNotNull()
+    near_by = [way(x["arity"] + d, F.lit(abs(d))) for d in ((0, 1, -1) if probe else (0,))]
+    ways = {
+        "arity": every(shaped & x["arity"].isNotNull(), near_by, way(F.lit(ANY), F.lit(2))),
+        "ret": every(shaped, [way(F.coalesce(F.concat(F.lit("="), x["ret"]), F.lit("none")), F.lit(True))], way(F.lit("any"), F.lit(False))),
+        "kind": every(x["kind"].isNotNull(), [way(F.concat(F.lit("="), x["kind"]), F.lit(True))], way(F.lit("any"), F.lit(False))),
+    }
+    out = rows
+    for name, options in ways.items():
+        out = out.withColumn("_o", F.explode(options)).withColumns({f"k_{name}": F.col("_o.k"), f"w_{name}": F.col("_o.w")}).drop("_o")
+    empty = F.array(F.array().cast("array<string>"))
+    subsets = F.aggregate("u", empty, lambda acc, y: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(y)))))
+    out = out.withColumn("k_tokens", F.explode(F.when(F.size("u") <= WIDE, subsets).otherwise(empty)))
+    here = F.array(F.lit(False))
+    out = out.withColumn("k_far", F.col("far") if probe else F.explode(F.when(~F.col("far") & some_far, F.array(F.lit(False), F.lit(True))).otherwise(here)))
+    name = F.when(F.size("k_tokens") > 0, F.size("k_tokens") / F.size("t")).otherwise(0.0)
+    shape = (F.when(F.col("w_arity") == 0, 1.0).when(F.col("w_arity") == 1, 0.5).otherwise(0.0) + F.col("w_ret").cast("double")) / 2
+    return out.where(blend(name, shape, F.col("w_kind").cast("double"), F.lit(None).cast("double")) >= MIN_SIMILAR)
+
+
 def find_similar_each(probes: DataFrame, pool: DataFrame, directory: str | None = None, include_tests: bool = False, limit: int = LIMIT) -> DataFrame:
     """`find_similar` for every row of `probes` (candidate rows, told apart by name, file and lines): (probe_name, probe_file, probe_line, ...) with the `limit` best of each.
-    Probes go to every task in blocks of about `PROBES`, by hash; the pool does not move but for what scores at least 0.30."""
+
+    Without a neighbourhood, a score follows from what a candidate and the probe agree in: arity, return type, kind and some tokens. So each candidate stands in the lists of all that it can agree in,
+    by number of tokens (fewer are better), name and file, and a probe reads the first `limit` names and files of each of its lists, and one more, since one may be its own. Whoever stands before a candidate in
+    the list of exactly what it agrees in has its score or a better one, so this is exact, and nothing compares all probes with all candidates. Two kinds of pairs are scored one by one: those of which a
+    name has more than `WIDE` tokens and that share a token, and those of which both have a neighbourhood (these in blocks of about `PROBES` probes, by hash)."""
     rows = pool.where(in_directory(F.col("file_path"), directory))
     if not include_tests:
         rows = rows.where(~is_test_path(F.col("file_path")) & ~is_test_symbol(F.col("name"), F.col("kind")))
     fields = ["name", "file_path", "start_line", "end_line", "signature", "kind", "tokens", "arity", "ret", "near"]
     key = ["name", "file_path", "start_line", "end_line"]
-    asked = materialize(probes.select(*fields).dropDuplicates(key), "probes")
-    n_blocks = max(1, -(-asked.count() // PROBES))
-    each = rows.select(F.struct(*fields).alias("b"))
-    found = []
+    own = {"t": F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))), "far": F.coalesce(F.size("near") > 0, F.lit(False))}
+    asked = materialize(probes.select(*fields).dropDuplicates(key).withColumns(own), "probes")
+    xs = asked.select(F.struct(*fields).alias("a"), "t", F.col("t").alias("u"), "far")
+    n_blocks = -(-asked.where("far").count() // PROBES)
+    other = (F.col("a.name") != F.col("b.name")) | (F.col("a.file_path") != F.col("b.file_path"))
+    good = lambda pairs: scored(pairs.where(other)).where(F.col("score") >= MIN_SIMILAR).select("a", "b", "name_score", "shape_score", "kind_score", "neighborhood", "score")
+
+    # of candidates that score alike with every probe, the first by name and file
+    alike = ["t", "far", "kind", "arity", "ret", F.col("signature").isNull()]
+    one = Window.partitionBy(*alike, "name", "file_path").orderBy("start_line", "end_line", "signature")
+    few = rows.select(*fields).withColumns(own).withColumn("_n", F.row_number().over(one)).where(F.col("_n") <= limit)
+    few = few.withColumn("_n", F.dense_rank().over(Window.partitionBy(*alike).orderBy("name", "file_path"))).where(F.col("_n") <= limit + 1)
+    few = materialize(few.select(F.struct(*fields).alias("b"), "t", "far"), "similar")
+    # tokens that no probe has cannot be shared
+    known = few.select("t").distinct().withColumn("token", F.explode("t")).join(asked.select(F.explode("t").alias("token")).distinct(), "token").groupBy("t").agg(F.array_sort(F.collect_list("token")).alias("u"))
+    ys = materialize(few.join(known, "t", "left").select("b", "t", F.coalesce("u", F.array().cast("array<string>")).alias("u"), "far"), "similar")
+    discard(few)
+
+    ways = ["k_arity", "k_ret", "k_kind", "k_tokens", "k_far"]
+    listed = _agreements(ys, "b", n_blocks > 0).select(*ways, "b", F.col("u").alias("v"), F.when(F.size("k_tokens") > 0, F.size("t")).otherwise(0).alias("n"))
+    order = Window.partitionBy(*ways).orderBy("n", "b.name", "b.file_path")
+    listed = listed.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= limit + 1).drop("_n")
+    a, b = F.col("a"), F.col("b")
+    has = b["signature"].isNotNull()
+    exactly = (
+        (F.col("w_arity") == F.coalesce(F.when(has & (a["arity"] == b["arity"]), 0).when(has & (F.abs(a["arity"] - b["arity"]) == 1), 1), F.lit(2)))
+        & (F.col("w_ret") == (has & a["ret"].eqNullSafe(b["ret"]))) & (F.col("w_kind") == F.coalesce(a["kind"] == b["kind"], F.lit(False)))
+        & (F.size("k_tokens") == F.size(F.array_intersect("u", "v")))
+    )
+    found = [good(_agreements(xs, "a", n_blocks > 0).join(listed, ways).where(exactly))]
+
+    vs = ys.select("b", F.col("u").alias("v"), F.col("far").alias("b_far"))
+    wide = lambda c: F.size(c) > WIDE
+    for x, y in ((xs.where(wide("u")), vs), (xs.where(~wide("u")), vs.where(wide("v")))):
+        shared = x.withColumn("token", F.explode("u")).join(y.withColumn("token", F.explode("v")), "token")
+        found.append(good(shared.where(~(F.col("far") & F.col("b_far")) & (F.col("token") == F.array_min(F.array_intersect("u", "v"))))))
+
+    each = rows.where(own["far"]).select(F.struct(*fields).alias("b"))
     for i in range(n_blocks):
-        block = asked.where(F.pmod(F.xxhash64(*key), F.lit(n_blocks)) == i).select(F.struct(*fields).alias("a"))
-        joined = each.join(F.broadcast(block), (F.col("a.name") != F.col("b.name")) | (F.col("a.file_path") != F.col("b.file_path")))
-        found.append(scored(joined).where(F.col("score") >= MIN_SIMILAR))
-    ids = [F.col(f"a.{k}") for k in key]
-    order = Window.partitionBy(*ids).orderBy(F.desc("score"), "b.name", "b.file_path")
+        block = xs.where("far").where(F.pmod(F.xxhash64(*[f"a.{k}" for k in key]), F.lit(n_blocks)) == i).select("a")
+        found.append(good(each.join(F.broadcast(block), other)))
+    order = Window.partitionBy(*[F.col(f"a.{k}") for k in key]).orderBy(F.desc("score"), "b.name", "b.file_path", "b.start_line", "b.end_line", "b.signature", "b.kind")
     best = reduce(DataFrame.union, found).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
-    own = [F.col("a.name").alias("probe_name"), F.col("a.file_path").alias("probe_file"), F.col("a.start_line").alias("probe_line")]
-    return best.select(*own, "b.name", "b.file_path", "b.kind", "name_score", "shape_score", "kind_score", "neighborhood", "score")
+    probe = [F.col("a.name").alias("probe_name"), F.col("a.file_path").alias("probe_file"), F.col("a.start_line").alias("probe_line")]
+    return best.select(*probe, "b.name", "b.file_path", "b.kind", "name_score", "shape_score", "kind_score", "neighborhood", "score")
 
 
 def token_frequency(pool: DataFrame) -> DataFrame:

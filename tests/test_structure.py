@@ -1,6 +1,7 @@
 """A small TypeScript tree from source to answers, and operators on literal tables."""
 
 import json
+import random
 from collections import Counter
 
 import pytest
@@ -263,6 +264,42 @@ def test_similar_for_every_probe(spark, tmp_path, monkeypatch):
         assert sorted(rows) == [(-round(r.score, 6), r.name, r.file_path) for r in alone] and len(rows) == 10
 
 
+def test_similar_for_every_probe_scores_no_cross_product(spark, tmp_path):
+    """Probes and candidates meet by what they agree in: no join of the plan lacks keys."""
+    for name, rows, ddl in (("part", [(i, f"red widget{i}", "Brand#1", "TIN", 1) for i in range(41)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int"), ("supplier", [(1, 1)], "s_suppkey long, s_nationkey long")):
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = catalogue.QUERIES["similar_topk_each"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "Join" in plan and not any(x in plan for x in ("NestedLoopJoin", "CartesianProduct"))
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_similar_for_every_probe_equals_all_pairs(spark, monkeypatch, near):
+    """Odd rows: overloads, long names, unknown signatures and kinds, names without tokens, neighbourhoods; many ties."""
+    monkeypatch.setattr(similar, "PROBES", 7)
+    rng, words = random.Random(5), "get set user id list load store red blue old".split()
+    signatures = [None, "", "x", "f()", "f(a)", "f(a, b)", "f() -> A", "f(a) -> A", "f(a, b) -> B", "f(a, b, c) -> A"]
+    rows = []
+    for i in range(240):
+        name = "_" * (i % 3) if i % 40 < 2 else "_".join(rng.sample(words, rng.choice((1, 2, 2, 3, 4, 8, 9))))
+        rows.append((name, f"d{rng.randrange(5)}.ts", i, i + 1, rng.choice(signatures), rng.choice(["fn", "fn", "struct", None])))
+    rows += [("get_user", "d1.ts", 300 + i, 301 + i, rng.choice(signatures[3:]), rng.choice(["fn", "struct"])) for i in range(40)]  # more overloads than places
+    exports = spark.createDataFrame([(*r[:5], None, r[5]) for r in rows], schema.EXPORTS)
+    own = [(f"d{i}.ts", [f"p{j}" for j in range(i, 4)], [], []) for i in range(4)] if near else []
+    facts = spark.createDataFrame(own, "path string, imports array<string>, dependencies array<string>, none array<string>")
+    pool = similar.candidates(exports, spark.createDataFrame([], schema.MEMBERS), facts if near else None).localCheckpoint()
+    probes = pool.where("start_line % 4 = 0 or start_line >= 335")
+    fields = ["name", "file_path", "start_line", "end_line", "signature", "kind", "tokens", "arity", "ret", "near"]
+    pairs = probes.select(F.struct(*fields).alias("a")).crossJoin(pool.select(F.struct(*fields).alias("b"))).where("a.name != b.name or a.file_path != b.file_path")
+    want = {}
+    for r in similar.scored(pairs).where(F.col("score") >= similar.MIN_SIMILAR).collect():
+        want.setdefault((r.a.name, r.a.file_path, r.a.start_line), []).append((-r.score, r.b.name, r.b.file_path, r.b.start_line, r.b.kind))
+    got = {}
+    for r in similar.find_similar_each(probes, pool).collect():
+        got.setdefault((r.probe_name, r.probe_file, r.probe_line), []).append((-r.score, r.name, r.file_path, r.kind or ""))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted((*x[:3], x[4] or "") for x in sorted(v)[:10]) for k, v in want.items()}
+    assert len(got) > 60
+
+
 def test_glossary_modes(spark):
     ex = spark.createDataFrame([("f", "a.ts", 1, 2, None, None, "fn")], schema.EXPORTS)
     none = spark.createDataFrame([], schema.MEMBERS)
