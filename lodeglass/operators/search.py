@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lodeglass.functions.names import in_loc_range, last_segment, match_score
 from lodeglass.functions.paths import strip_source_ext
-from lodeglass.graph.closure import reached_by_others
+from lodeglass.graph.closure import reachable_from, reached_by_others
 from lodeglass.operators.lookup import find_export_matches, member_index, winners
 
 FUZZY_CAP = 50
@@ -57,9 +57,12 @@ def imports_grouped(files: DataFrame, term: str = "") -> DataFrame:
     return rows.groupBy(F.col("name").alias("package")).agg(F.count("*").alias("n_files"), F.array_join(F.array_sort(F.collect_list("file_path")), ",").alias("files"))
 
 
-def depends_on(target: str, files: DataFrame, edges: DataFrame) -> DataFrame:
+def depends_on(target: str, files: DataFrame, edges: DataFrame, exact: bool = False) -> DataFrame:
     """path of every transitive dependent of the files that `target` names (path, stem or ending stem); if there is none, of
-    the files one of whose dependencies ends with the target's stem."""
+    the files one of whose dependencies ends with the target's stem. `exact`: of the file with this path alone, which is no dependent of itself."""
+    if exact:
+        one = files.where(F.col("path") == target).select(F.col("path").alias("node"))
+        return reachable_from(one, edges, "target", "source").where("depth > 0").select(F.col("node").alias("path"))
     stem = strip_source_ext(F.lit(target))
     own = strip_source_ext(F.col("path"))
     targets = files.where((F.col("path") == target) | (own == stem) | own.endswith(F.concat(F.lit("/"), stem))).select(F.col("path").alias("node"))
@@ -71,8 +74,8 @@ def depends_on(target: str, files: DataFrame, edges: DataFrame) -> DataFrame:
     return specs.where(strip_source_ext(F.col("d")).endswith(stem)).select("path").distinct()
 
 
-def filter_search(files: DataFrame, exports: DataFrame, edges: DataFrame, export: str | None = None, imports: str | None = None, depends: str | None = None, min_loc: int | None = None, max_loc: int | None = None, reexported: DataFrame | None = None) -> DataFrame:
-    """path and loc of the files that pass every filter given, by path. An exact export name wins over parts of names."""
+def filter_search(files: DataFrame, exports: DataFrame, edges: DataFrame, export: str | None = None, imports: str | None = None, depends: str | None = None, min_loc: int | None = None, max_loc: int | None = None, reexported: DataFrame | None = None, depends_exact: bool = False) -> DataFrame:
+    """path and loc of the files that pass every filter given, by path. An exact export name wins over parts of names; `depends_exact`: `depends` is the path of one file."""
     out = files.where(in_loc_range(F.col("loc"), min_loc, max_loc))
     if export is not None:
         own = winners(exports.where((F.col("name") == export) | F.lower("name").contains(export.lower())), reexported)
@@ -86,7 +89,7 @@ def filter_search(files: DataFrame, exports: DataFrame, edges: DataFrame, export
             found = found | F.exists("dependencies", lambda x: strip_source_ext(x).endswith(strip_source_ext(F.lit(imports.lstrip("./")))))
         out = out.where(found)
     if depends is not None:
-        out = out.join(depends_on(depends, files, edges), "path", "left_semi")
+        out = out.join(depends_on(depends, files, edges, depends_exact), "path", "left_semi")
     return out.select("path", "loc").orderBy("path")
 
 

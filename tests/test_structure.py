@@ -331,6 +331,21 @@ def test_depends_on_target_of_a_target(spark):
     assert {r.path for r in search.depends_on("a/x", f, e).collect()} == {"c.ts", "b/x.ts"}
 
 
+def test_depends_on_one_file_among_equal_stems(spark, tmp_path):
+    """The query asks for the dependents of one path: neither those of other extensions nor the file itself, here in a cycle and a dependent of m1.js."""
+    def write(folder, sizes, orders):
+        parts = [(k, f"n{k}", "Brand#1", "SMALL" if k in (1, 8) else "LARGE", size) for k, size in sizes]
+        spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+        lines = [(o, k, 1, i, "F", "N", 1.0, 1.0, "1995-01-01") for o, ks in enumerate(orders) for i, k in enumerate(ks)]
+        spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_linestatus string, l_returnflag string, l_extendedprice double, l_quantity double, l_shipdate string").write.parquet(f"{folder}/lineitem.parquet")
+        return {r.path for r in catalogue.QUERIES["filter_search_depends"](spark, str(folder)).collect()}
+
+    sizes = [(1, 4), (8, 1), (2, 4), (3, 4), (4, 4)]  # 1 is brand_1/small/m1.ts, 8 m1.js, others brand_1/large/mK.ts
+    orders = [(2, 1), (3, 2), (1, 3), (1, 8), (4, 8)]  # 2 and 3 need 1, 1 needs 3 and m1.js, 4 needs m1.js
+    assert write(tmp_path / "a", sizes, orders) == {"brand_1/large/m2.ts", "brand_1/large/m3.ts"}
+    assert write(tmp_path / "b", sizes[1:], [(4, 8)]) == set()  # no such file
+
+
 def test_loc_expressions():
     assert [loc_bounds(x) for x in (">5", ">=5", "<5", "<=5", "=5", "5", "<0")] == [(6, None), (5, None), (None, 4), (None, 5), (5, 5), (5, 5), (None, 0)]
     with pytest.raises(ValueError):
