@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,28 @@ def test_word_cuts_are_exact():
         assert e.encode(t) == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_plain_words_are_merged_together(monkeypatch):
+    """Words of Latin letters, numbers and marks don't go through the tokenizer one by one, and give its ids all the same."""
+    e, r = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY)), random.Random(2)
+    letters = [chr(c) for c in range(0x21, 0x240) if c not in (0x27, 0x85, 0xA0, 0x130) and chr(c).lower() < "\u0240"]
+    texts = [" ".join("".join(r.choices(letters, k=r.randint(1, 9))) + r.choice(("", ".", "!?")) for _ in range(60)) + r.choice("\n\t \r") for _ in range(50)]
+    texts = [t.replace("<|", "< |") for t in texts] + ["", " ", "é" * 32, "x" * 64, "a1b22c"]
+    want = [np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    seen = []
+    monkeypatch.setattr(e, "_encode", lambda x: seen.extend(x) or [b""] * len(x))
+    assert [e.encode(t) for t in texts] == want and not seen
+    assert list(e.encode_all(t.encode() for t in texts)) == want and not seen
+
+
+def test_texts_are_cut_at_white_space(monkeypatch):
+    e, r = packing.encoder(), random.Random(3)
+    texts = [" ".join(r.choice(("stone", "it's", "日本", "Ünder", "e\u0301t", "12.5\n")) + str(r.randint(0, 99)) for _ in range(r.randint(0, 80))) for _ in range(60)] + ["<|endoftext|> x", "y" * 500]
+    want = [np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for size in (1, 50, 700):
+        monkeypatch.setattr(packing, "_PART_BYTES", size)
+        assert list(e.encode_all(t.encode() for t in texts)) == want
+
+
 def test_best_fit_takes_the_tightest_window():
     r = random.Random(5)
     for _ in range(30):
