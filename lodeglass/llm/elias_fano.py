@@ -7,16 +7,36 @@ import numpy as np
 _ONE = np.uint64(1)
 
 
+def _in_bytes() -> np.ndarray:
+    """By byte * 8 + k, the position of the byte's k-th (from 0) set bit."""
+    out = np.zeros((256, 8), np.uint8)
+    for byte in range(256):
+        at = [b for b in range(8) if byte >> b & 1]
+        out[byte, : len(at)] = at
+    return out.ravel()
+
+
+_IN_BYTES = _in_bytes()
+_ONES, _TWOS, _FOURS, _EIGHTS, _TOPS = (np.uint64(x * 0x0101010101010101) for x in (0x01, 0x55, 0x33, 0x0F, 0x80))
+_BYTE = np.uint64(255)
+
+
 def _select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the k-th (from 0) set bit of each word."""
-    w, k, at = words.copy(), k.astype(np.int64), np.zeros(len(words), np.int64)
-    for b in (32, 16, 8, 4, 2, 1):
-        n = np.bitwise_count(w & np.uint64((1 << b) - 1)).astype(np.int64)
-        up = k >= n
-        k -= np.where(up, n, 0)
-        at += np.where(up, b, 0)
-        w = np.where(up, w >> np.uint64(b), w)
-    return at
+    """Position of the k-th (from 0) set bit of each word, which has one: first the byte, by sums of the bytes' counts, then the place in it."""
+    k = k.astype(np.uint64)
+    x = words - ((words >> _ONE) & _TWOS)
+    x = (x & _FOURS) + ((x >> np.uint64(2)) & _FOURS)
+    sums = ((x + (x >> np.uint64(4))) & _EIGHTS) * _ONES  # byte b: set bits of bytes 0 to b
+    place = np.bitwise_count(((k * _ONES | _TOPS) - sums) & _TOPS).astype(np.uint64) << np.uint64(3)
+    k -= ((sums << np.uint64(8)) >> place) & _BYTE
+    return (place + _IN_BYTES[((((words >> place) & _BYTE) << np.uint64(3)) | k).astype(np.int64)]).astype(np.int64)
+
+
+def _joined(words: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
+    """Puts `bits` into `words` at the ascending indexes `at`."""
+    if len(at):
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        words[at[first]] |= np.bitwise_or.reduceat(bits, first)
 
 
 class EliasFano:
@@ -35,16 +55,18 @@ class EliasFano:
         values = np.asarray(values, np.uint64)
         n = len(values)
         low = max(0, (top // max(n, 1)).bit_length() - 1)
+        lows = np.zeros((n * low + 63) // 64 + 2, np.uint64)
         if low:
-            bits = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & _ONE).astype(np.uint8)
-            lows = np.packbits(bits.ravel(), bitorder="little")
-        else:
-            lows = np.zeros(0, np.uint8)
+            bit = np.arange(n) * low
+            at, shift, part = bit >> 6, (bit & 63).astype(np.uint64), values & np.uint64((1 << low) - 1)
+            _joined(lows, at, part << shift)
+            over = np.flatnonzero((bit & 63) + low > 64)
+            _joined(lows, at[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         high = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
         size = ((top >> low) + n + 2 + 63) // 64
         words = np.zeros(size, np.uint64)
-        np.bitwise_or.at(words, high >> 6, _ONE << (high & 63).astype(np.uint64))
-        return [np.array([n, low, top], np.uint64), np.concatenate([lows, np.zeros(16 + -len(lows) % 8, np.uint8)]), words]
+        _joined(words, high >> 6, _ONE << (high & 63).astype(np.uint64))
+        return [np.array([n, low, top], np.uint64), lows.view(np.uint8), words]
 
     def _select(self, sums: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
         word = np.searchsorted(sums, k, "right") - 1

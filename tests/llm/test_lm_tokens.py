@@ -70,6 +70,26 @@ def test_model_grows_with_the_corpus(spark):
     assert got[held[0]].score > got[held[1]].score + 1
 
 
+def test_distinct_keys():
+    r = np.random.default_rng(1)
+    for keys in ([], [7], [2**64 - 1, 0, 2**64 - 1], r.integers(0, 40, 900), r.integers(0, 2**64 - 1, 900, np.uint64), r.integers(0, 2**20, 900, np.uint64) << np.uint64(44) | r.integers(0, 3, 900, np.uint64), r.permutation(np.repeat(np.arange(2**63, 2**63 + 9, dtype=np.uint64), 50))):
+        keys = np.asarray(keys, np.uint64)
+        want, back = np.unique(keys, return_inverse=True)
+        got = lm_scoring.distinct(keys)
+        assert got[0].tolist() == want.tolist() and got[1].tolist() == back.tolist()
+
+
+def test_block_cuts_and_numbers_all_words_at_once():
+    r = random.Random(6)
+    texts = ["".join(r.choice("abAÀé \t\n\v\x00\x1c") for _ in range(r.randint(0, 90))) for _ in range(400)] + ["", " ", *("xY" * n for n in (4, 5, 16, 17, 300))]
+    block = lm_scoring.Block(list(range(len(texts))), [t.encode() for t in texts])
+    words = [w for t in texts for w in tokens(t)]
+    assert block.lengths.tolist() == [len(tokens(t)) for t in texts]
+    assert len(set(zip(words, block.ids.tolist()))) == len(set(words)) == len(block.words) == len(set(block.words.tolist()))
+    assert {lm_scoring.Block([1], [x]).words[0] for x in (b"ab", b" AB\n", b"ab ab")} == {block.words[block.ids[words.index(b"ab")]]}  # the same in every block
+    assert lm_scoring.Block([None], [b""]).ids.tolist() == [0]
+
+
 def test_levels():
     r = random.Random(4)
     for n_contexts in (1, 7, 300):
