@@ -86,7 +86,10 @@ def find_similar_each(probes: DataFrame, pool: DataFrame, directory: str | None
     Without a neighbourhood, a score follows from what a candidate and the probe agree in: arity, return type, kind and some tokens. So each candidate stands in the lists of all that it can agree in,
     by number of tokens (fewer are better), name and file, and a probe reads the first `limit` names and files of each of its lists, and one more, since one may be its own. Whoever stands before a candidate in
     the list of exactly what it agrees in has its score or a better one, so this is exact, and nothing compares all probes with all candidates. Two kinds of pairs are scored one by one: those of which a
-    name has more than `WIDE` tokens and that share a token, and those of which both have a neighbourhood (these in blocks of about `PROBES` probes, by hash)."""
+    name has more than `WIDE` tokens and that share a token, and those of which both have a neighbourhood (these in blocks of about `PROBES` probes, by hash).
+
+    Lists are read once for all probes of the same tokens, arity, return type and kind; of what these share, the first `limit` rows of a name and file and the first 2 * `limit` of all hold the best of each, whichever
+    name and file is its own. What is exploded is many times what Spark takes it for, which is the size of the file it is read from, so those joins are told to sort and merge: none goes through the driver."""
     rows = pool.where(in_directory(F.col("file_path"), directory))
     if not include_tests:
         rows = rows.where(~is_test_path(F.col("file_path")) & ~is_test_symbol(F.col("name"), F.col("kind")))
@@ -94,10 +97,12 @@ def find_similar_each(probes: DataFrame, pool: DataFrame, directory: str | None
     key = ["name", "file_path", "start_line", "end_line"]
     own = {"t": F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))), "far": F.coalesce(F.size("near") > 0, F.lit(False))}
     asked = materialize(probes.select(*fields).dropDuplicates(key).withColumns(own), "probes")
-    xs = asked.select(F.struct(*fields).alias("a"), "t", F.col("t").alias("u"), "far")
+    same = F.struct(F.col("t").alias("tokens"), "far", "kind", "arity", "ret", F.lit(None).cast("string").alias("file_path"), F.array().cast("array<string>").alias("near"))
+    probe_rows = asked.select(F.struct(*fields).alias("a"), "far", same.alias("same"))
+    xs = asked.select(same.alias("a")).distinct().select("a", F.col("a.tokens").alias("t"), F.col("a.tokens").alias("u"), "a.far")
     n_blocks = -(-asked.where("far").count() // PROBES)
     other = (F.col("a.name") != F.col("b.name")) | (F.col("a.file_path") != F.col("b.file_path"))
-    good = lambda pairs: scored(pairs.where(other)).where(F.col("score") >= MIN_SIMILAR).select("a", "b", "name_score", "shape_score", "kind_score", "neighborhood", "score")
+    good = lambda pairs: scored(pairs).where(F.col("score") >= MIN_SIMILAR).select("a", "b", "name_score", "shape_score", "kind_score", "neighborhood", "score")
 
     # of candidates that score alike with every probe, the first by name and file
     alike = ["t", "far", "kind", "arity", "ret", F.col("signature").isNull()]
@@ -106,7 +111,7 @@ def find_similar_each(probes: DataFrame, pool: DataFrame, directory: str | None
     few = few.withColumn("_n", F.dense_rank().over(Window.partitionBy(*alike).orderBy("name", "file_path"))).where(F.col("_n") <= limit + 1)
     few = materialize(few.select(F.struct(*fields).alias("b"), "t", "far"), "similar")
     # tokens that no probe has cannot be shared
-    known = few.select("t").distinct().withColumn("token", F.explode("t")).join(asked.select(F.explode("t").alias("token")).distinct(), "token").groupBy("t").agg(F.array_sort(F.collect_list("token")).alias("u"))
+    known = few.select("t").distinct().withColumn("token", F.explode("t")).join(asked.select(F.explode("t").alias("token")).distinct().hint("merge"), "token").groupBy("t").agg(F.array_sort(F.collect_list("token")).alias("u"))
     ys = materialize(few.join(known, "t", "left").select("b", "t", F.coalesce("u", F.array().cast("array<string>")).alias("u"), "far"), "similar")
     discard(few)
 
@@ -121,20 +126,25 @@ def find_similar_each(probes: DataFrame, pool: DataFrame, directory: str | None
         & (F.col("w_ret") == (has & a["ret"].eqNullSafe(b["ret"]))) & (F.col("w_kind") == F.coalesce(a["kind"] == b["kind"], F.lit(False)))
         & (F.size("k_tokens") == F.size(F.array_intersect("u", "v")))
     )
-    found = [good(_agreements(xs, "a", n_blocks > 0).join(listed, ways).where(exactly))]
+    found = [good(_agreements(xs, "a", n_blocks > 0).hint("merge").join(listed, ways).where(exactly))]
 
     vs = ys.select("b", F.col("u").alias("v"), F.col("far").alias("b_far"))
     wide = lambda c: F.size(c) > WIDE
     for x, y in ((xs.where(wide("u")), vs), (xs.where(~wide("u")), vs.where(wide("v")))):
-        shared = x.withColumn("token", F.explode("u")).join(y.withColumn("token", F.explode("v")), "token")
+        shared = x.withColumn("token", F.explode("u")).hint("merge").join(y.withColumn("token", F.explode("v")), "token")
         found.append(good(shared.where(~(F.col("far") & F.col("b_far")) & (F.col("token") == F.array_min(F.array_intersect("u", "v"))))))
 
+    order = [F.desc("score"), "b.name", "b.file_path", "b.start_line", "b.end_line", "b.signature", "b.kind"]
+    heads = reduce(DataFrame.union, found).withColumnRenamed("a", "same")
+    for whose, n in ((["same", "b.name", "b.file_path"], limit), (["same"], 2 * limit)):
+        heads = heads.withColumn("_n", F.row_number().over(Window.partitionBy(*whose).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    found = [probe_rows.select("a", "same").hint("merge").join(heads, "same").where(other).drop("same")]
+
     each = rows.where(own["far"]).select(F.struct(*fields).alias("b"))
     for i in range(n_blocks):
-        block = xs.where("far").where(F.pmod(F.xxhash64(*[f"a.{k}" for k in key]), F.lit(n_blocks)) == i).select("a")
+        block = probe_rows.where("far").where(F.pmod(F.xxhash64(*[f"a.{k}" for k in key]), F.lit(n_blocks)) == i).select("a")
         found.append(good(each.join(F.broadcast(block), other)))
-    order = Window.partitionBy(*[F.col(f"a.{k}") for k in key]).orderBy(F.desc("score"), "b.name", "b.file_path", "b.start_line", "b.end_line", "b.signature", "b.kind")
-    best = reduce(DataFrame.union, found).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    best = reduce(DataFrame.union, found).withColumn("_n", F.row_number().over(Window.partitionBy(*[F.col(f"a.{k}") for k in key]).orderBy(*order))).where(F.col("_n") <= limit)
     probe = [F.col("a.name").alias("probe_name"), F.col("a.file_path").alias("probe_file"), F.col("a.start_line").alias("probe_line")]
     return best.select(*probe, "b.name", "b.file_path", "b.kind", "name_score", "shape_score", "kind_score", "neighborhood", "score")
 

@@ -272,6 +272,26 @@ def test_similar_for_every_probe_scores_no_cross_product(spark, tmp_path):
     assert "Join" in plan and not any(x in plan for x in ("NestedLoopJoin", "CartesianProduct"))
 
 
+def test_similar_for_every_probe_broadcasts_no_lists(spark, tmp_path):
+    """However small the files of the probes are, what is exploded from them doesn't go through the driver."""
+    for name, rows, ddl in (("part", [(i, "red widget", "Brand#1", "TIN", i) for i in range(41)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int"), ("supplier", [(1, 1)], "s_suppkey long, s_nationkey long")):
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = catalogue.QUERIES["similar_topk_each"](spark, str(tmp_path))
+    assert found.count() > 0 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_for_every_probe_of_one_shape(spark):
+    """Probes that score alike share lists: each leaves out its own overloads, which can be all that stands first."""
+    rows = [("get_user", "a.ts", i, i, "f()", "fn") for i in range(12)] + [("get_user", f"b{i:02}.ts", 1, 1, "f()", "fn") for i in range(12)]
+    exports = spark.createDataFrame([(*r[:5], None, r[5]) for r in rows], schema.EXPORTS)
+    pool = similar.candidates(exports, spark.createDataFrame([], schema.MEMBERS)).localCheckpoint()
+    got = {}
+    for r in similar.find_similar_each(pool, pool).collect():
+        got.setdefault((r.probe_file, r.probe_line), []).append(r.file_path)
+    assert len(got) == 24 and all(sorted(got["a.ts", i]) == [f"b{j:02}.ts" for j in range(10)] for i in range(12))
+    assert all(got[f"b{i:02}.ts", 1] == ["a.ts"] * 10 for i in range(12))
+
+
 @pytest.mark.parametrize("near", [False, True])
 def test_similar_for_every_probe_equals_all_pairs(spark, monkeypatch, near):
     """Odd rows: overloads, long names, unknown signatures and kinds, names without tokens, neighbourhoods; many ties."""
